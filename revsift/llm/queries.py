@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from revsift.common import load
 from revsift.llm.documentation import documented_functions
+from revsift.llm.leaks import leaked_cases
+from revsift.llm.packing import packed_documents
 from revsift.llm.pieces import oversized_sources
 from revsift.llm.splits import grouped_splits
 from revsift.llm.topn import top_ranked
+from revsift.llm.vectors import similar_comparisons
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +23,16 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return documented_functions(load(spark, d, "entities"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    x = similar_comparisons(load(spark, d, "embedding_comparisons"), least=0.85)
+    return x.select(F.least("id", "neighbour_id").alias("id_a"), F.greatest("id", "neighbour_id").alias("id_b")).distinct()
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """All 5 neighbours of every vector, near or far: with more probes, as far neighbours are spread over many lists."""
+    return similar_comparisons(load(spark, d, "embedding_comparisons"), probes=160)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     s = p3_splits(spark, d)
     return s.where("row_id <> group_row_id").select("group_row_id", "row_id")
@@ -50,7 +63,20 @@ def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
     return top_ranked(load(spark, d, "retrieval_results"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_splits, p4_found, p4_pieces, p5_found, p5_ranking)}
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packed_documents(load(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_cases(load(spark, d, "documents"), load(spark, d, "query_cases")).where("verbatim").select("doc_id", "query_id")
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Also re-parameterised copies."""
+    return leaked_cases(load(spark, d, "documents"), load(spark, d, "query_cases"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_neighbours, p3_found, p3_splits, p4_found, p4_pieces, p5_found, p5_ranking, p7_containers, p8_found, p8_leaks)}
 
 _TOP = """
 WITH e AS (SELECT run_id, query_id, unnest(ranked_entity_ids) AS entity_id, unnest(ranked_scores) AS score FROM retrieval_results),
@@ -58,7 +84,15 @@ m AS (SELECT run_id, query_id, entity_id, max(score) AS score FROM e WHERE entit
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY run_id, query_id ORDER BY score DESC, entity_id) AS INTEGER) AS position FROM m)
 """
 
+_SIMILAR = """
+WITH v AS (SELECT DISTINCT comparison_id AS id, CAST(coalesce(candidate_raw_vector, baseline_raw_vector) AS DOUBLE[]) AS v FROM embedding_comparisons),
+g AS (SELECT id, v FROM v WHERE v IS NOT NULL AND len(list_filter(v, lambda e: isnan(e))) = 0 AND len(list_filter(v, lambda e: e <> 0)) > 0),
+s AS (SELECT a.id, b.id AS neighbour_id, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM g a JOIN g b ON a.id <> b.id AND len(a.v) = len(b.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, neighbour_id) AS place FROM s)
+"""
+
 SQL = {
+    "p2_found": _SIMILAR + "SELECT DISTINCT least(id, neighbour_id) AS id_a, greatest(id, neighbour_id) AS id_b FROM r WHERE place <= 5 AND cosine >= 0.85",
     "p3_found": r"""
 WITH RECURSIVE x AS (SELECT row_id, lower(regexp_replace(v, '^\s+|\s+$', '', 'g')) AS v FROM
     (SELECT row_id, commit_before AS v FROM dataset_rows UNION ALL SELECT row_id, commit_after FROM dataset_rows)),
