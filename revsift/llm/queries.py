@@ -10,6 +10,7 @@ from revsift.llm.documentation import documented_functions
 from revsift.llm.leaks import leaked_cases
 from revsift.llm.packing import packed_documents
 from revsift.llm.pieces import oversized_sources
+from revsift.llm.spam import spam_pages
 from revsift.llm.splits import grouped_splits
 from revsift.llm.topn import top_ranked
 from revsift.llm.vectors import similar_comparisons
@@ -76,7 +77,15 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaked_cases(load(spark, d, "documents"), load(spark, d, "query_cases"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_neighbours, p3_found, p3_splits, p4_found, p4_pieces, p5_found, p5_ranking, p7_containers, p8_found, p8_leaks)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam_pages(load(spark, d, "documents")).where("is_spam").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return spam_pages(load(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_neighbours, p3_found, p3_splits, p4_found, p4_pieces, p5_found, p5_ranking, p7_containers, p8_found, p8_leaks, p9_found, p9_scores)}
 
 _TOP = """
 WITH e AS (SELECT run_id, query_id, unnest(ranked_entity_ids) AS entity_id, unnest(ranked_scores) AS score FROM retrieval_results),
