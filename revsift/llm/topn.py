@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from revsift.common import cut, partitions
 
+#: Length of a ranking up to which it is cut to its own best before it is moved.
+ROW = 500
 
 def _ranks(n: int, keys: list[str], out: list[str]):
     """Over a sorted partition: rows with their place in the group within it, as far as n. edge: the group is the first or
@@ -83,6 +85,13 @@ def top_n(items: DataFrame, group: list[str], item: str, score: str, n: int) ->
 
 def top_ranked(results: DataFrame, n: int = 10) -> DataFrame:
     """top_n over rankings: the i-th of ranked_scores belongs to the i-th of ranked_entity_ids, an id or score beyond the
-    shorter list counts for nothing, and so do null and empty lists."""
-    x = results.select("run_id", "query_id", F.explode(F.arrays_zip(F.col("ranked_entity_ids").alias("i"), F.col("ranked_scores").alias("s"))).alias("e"))
-    return top_n(x.select("run_id", "query_id", F.col("e.i").alias("entity_id"), F.col("e.s").alias("score")), ["run_id", "query_id"], "entity_id", "score", n)
+    shorter list counts for nothing, and so do null and empty lists.
+
+    Of a ranking only its own n best ids are moved, each with its best score: what n others of one row surpass can't be
+    among the group's n best. Rankings longer than ROW are moved whole, as looking for repeats takes quadratic time.
+    """
+    usable = "filter(arrays_zip(ranked_entity_ids, ranked_scores), e -> e.ranked_entity_ids is not null and not isnan(coalesce(e.ranked_scores, double('NaN'))))"
+    x = results.select("run_id", "query_id", F.expr(f"sort_array(transform({usable}, e -> struct(-double(e.ranked_scores) as low, e.ranked_entity_ids as entity_id)))").alias("e"))
+    first = F.filter("e", lambda v, i: F.array_position(F.col("e.entity_id"), v["entity_id"]) == i + 1)
+    x = x.select("run_id", "query_id", F.explode(F.when(F.size("e") <= ROW, F.slice(first, 1, n)).otherwise(F.col("e"))).alias("e"))
+    return top_n(x.select("run_id", "query_id", F.col("e.entity_id").alias("entity_id"), (-F.col("e.low")).alias("score")), ["run_id", "query_id"], "entity_id", "score", n)
