@@ -20,12 +20,12 @@ from revsift.common import cut, partitions, shared_dir, small
 SAMPLE = 20_000
 #: Vectors in a list of the inverted file, about; lists of one file at most.
 LIST_ROWS, MOST_LISTS = 400, 4096
-#: Lists looked into for a vector; sub-quantisers and their codes.
-PROBES, PARTS, CODES = 24, 8, 256
+#: Lists looked into for a vector; sub-quantisers and their codes: a vector's table has as many entries as both multiplied.
+PROBES, PARTS, CODES = 24, 16, 16
 #: Vectors of looked-up lists that a task holds at once, about.
 HELD_ROWS = 200_000
 #: How far an estimated cosine may fall below the wanted one for its pair to be computed exactly.
-SLACK = 0.38
+SLACK = 0.46
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -48,7 +48,7 @@ def fit(sample: np.ndarray, lists: int, seed: int = 7) -> tuple[np.ndarray, np.n
     c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     near = np.argmax(sample @ c.T, axis=1)
     rest = sample - c[near]
-    parts = PARTS if sample.shape[1] % PARTS == 0 else 1
+    parts = next(p for p in (PARTS, PARTS // 2, PARTS // 4, 1) if sample.shape[1] % p == 0)
     books = [_kmeans(np.ascontiguousarray(p), CODES, 6, seed + i) for i, p in enumerate(np.split(rest, parts, axis=1))]
     codes = max(map(len, books))
     return c, np.stack([np.vstack([b, np.repeat(b[-1:], codes - len(b), axis=0)]) for b in books])
@@ -140,7 +140,9 @@ def _pairs(q: np.ndarray, k: int, least: float | None, probes: int, data: ds.Dat
     score = x @ c.T
     p = min(probes, len(c))
     cells = np.argpartition(-score, p - 1, axis=1)[:, :p]
-    tables = np.stack([np.ascontiguousarray(s) @ b.T for s, b in zip(np.split(x, len(books), axis=1), books)])
+    # a row's table: its product with every code of every part
+    tables = np.hstack([np.ascontiguousarray(s) @ b.T for s, b in zip(np.split(x, len(books), axis=1), books)])
+    width, shift = tables.shape[1], np.arange(len(books))[:, None] * books.shape[1]
     flat, who = cells.ravel(), np.repeat(np.arange(len(q)), p)
     order = np.argsort(flat, kind="stable")
     flat, who = flat[order], who[order]
@@ -159,11 +161,12 @@ def _pairs(q: np.ndarray, k: int, least: float | None, probes: int, data: ds.Dat
             exact = None
             for lo in range(0, len(ids), 4096):  # a list of any length, in blocks
                 hi = min(lo + 4096, len(ids))
+                # each code's places in a table, so that one product looks up and adds all entries of all pairs
+                places = np.zeros((hi - lo, width), np.float32)
+                places[np.arange(hi - lo), code[:, lo:hi] + shift] = 1
                 for qa in range(0, len(ours[cell]), 2048):
                     mine = ours[cell][qa : qa + 2048]
-                    guess = np.take(tables[0, mine], code[0, lo:hi], axis=1)
-                    for m in range(1, len(books)):
-                        guess += np.take(tables[m, mine], code[m, lo:hi], axis=1)
+                    guess = tables[mine] @ places.T
                     if least is not None:
                         bound = least - SLACK - score[mine, cell]
                     else:
@@ -249,7 +252,11 @@ def nearest(rows: DataFrame, id_: str, vector: str, k: int = 5, least: float | N
         return x.select("id", F.col("id").alias("neighbour_id"), F.lit(1.0).alias("cosine")).where("false")
     fitted = {}
     for w, n in sorted(n_of.items()):
-        s = x.where(F.col("width") == w).select("v", F.xxhash64("id", F.lit(13)).alias("h")).orderBy("h", "v").limit(SAMPLE).collect()
+        # a share by hash first, so that no task sends many more rows than are wanted
+        s = x.where(F.col("width") == w).select("v", F.xxhash64("id", F.lit(13)).alias("h"))
+        if n > 2 * SAMPLE:
+            s = s.where(F.expr(f"pmod(h, 1000000007) < {int(1.5 * SAMPLE / n * 1000000007)}"))
+        s = s.orderBy("h", "v").limit(SAMPLE).collect()
         fitted[w] = fit(_unit(np.frombuffer(b"".join(r[0] for r in s), np.float32).reshape(-1, w)).astype(np.float32), max(1, min(MOST_LISTS, n // LIST_ROWS)))
 
     first = Window.partitionBy("width", "way").orderBy("id")
