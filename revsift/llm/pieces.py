@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revsift.functions.text import bound
 from revsift.operators.snapshots import current_rows
 
 LIMIT, OVERLAP = 2000, 200
@@ -39,7 +40,12 @@ def cut_pieces(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Colu
     steps = F.regexp_extract_all(text, F.lit(boundary_pattern(limit - overlap)), F.lit(0))
     if not overlap:
         return steps
-    return F.transform(steps, lambda s, i: F.when(i == 0, s).otherwise(F.concat(F.right(F.concat(F.coalesce(F.get(steps, i - 2), F.lit("")), F.get(steps, i - 1)), F.lit(overlap)), s)))
+
+    def joined(x: Column) -> Column:
+        before = lambda i: F.right(F.concat(F.coalesce(F.get(x, i - 2), F.lit("")), F.get(x, i - 1)), F.lit(overlap))
+        return F.transform(x, lambda s, i: F.when(i == 0, s).otherwise(F.concat(before(i), s)))
+
+    return bound(steps, joined)
 
 
 def split_oversized(rows: DataFrame, keys: list[str], text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:

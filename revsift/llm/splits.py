@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revsift.common import cut, partitions, small
+from revsift.operators.graph import components
 
 #: Components with more than this share of all rows are placed one by one, first: there are at most 1 / HEAVY of them.
 HEAVY = 1 / 2000
@@ -24,29 +25,6 @@ def commit_key(value: Column) -> Column:
     return F.when(v.rlike(r"\A[0-9a-f]{8,40}\z"), F.substring(v, 1, 8))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of the connected component, for every node of edges (u, v), except roots.
-
-    Large-star and small-star rounds, until the edges are stars; the number of rounds grows with the logarithm of the size
-    of the largest component. Each round's edges are written to the shared folder. Only minima are aggregated, so a node
-    with very many edges is never gathered in one task, and AQE splits its join.
-    """
-    e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    was, now = None, mark(e)
-    while was != now and now[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # an edge to the smallest neighbour itself is kept by its other end, except for local minima
-        large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(star, "star")
-        was, now = now, mark(e)
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 def _deviation(mass: np.ndarray, want: np.ndarray) -> float:
     """mass, want: splits x (rows, then rows by label)."""
     return float(np.abs(mass - want).sum(axis=0) @ np.append(1.0, np.full(mass.shape[1] - 1, 0.5)))
@@ -88,7 +66,7 @@ def anneal(sizes: np.ndarray, share: np.ndarray, start: np.ndarray, seed: int, s
                 at[j] = a
             now = new
             if now < best - 1e-9:
-                best, best_at = now, at.copy() if n < 5000 else at.copy()
+                best, best_at = now, at.copy()
     return best_at
 
 
