@@ -18,11 +18,12 @@ def boundary_pattern(most: int) -> str:
     the last half, at any character. All quantifiers are bounded and stand on single characters, so matching never nests.
     """
     third, half = most * 2 // 3, most // 2
+    end = r"(?:\r\n|\r(?!\n)|\n)"  # \R could match the first half of a line end
     return (
         rf"(?s).{{1,{most}}}\z"
-        rf"|.{{{third},{most - 2}}}\R(?=[ \t]*(?:@\w|(?:async[ \t]+)?def\s|class\s))"
-        rf"|.{{{third},{most - 2}}}\R(?=[ \t]*\R)"
-        rf"|.{{0,{most - 2}}}\R"
+        rf"|.{{{third},{most - 2}}}{end}(?=[ \t]*(?:@\w|(?:async[ \t]+)?def\s|class\s))"
+        rf"|.{{{third},{most - 2}}}{end}(?=[ \t]*{end})"
+        rf"|.{{0,{most - 2}}}{end}"
         rf"|.{{0,{most - 2}}};[ \t]?"
         rf"|.{{{half},{most - 1}}}\s"
         rf"|.{{1,{most}}}"

@@ -23,6 +23,8 @@ SALAD, DESCRIBED, REPEATED, PRODUCT = 1.3, 1.5, 3.3, 2.4
 #: A collocation is repeated if it occurs so often in the page and at so many times its rate elsewhere; dominant, if it
 #: also makes up this share of the page's pairs.
 TIMES, LIFT, DOMINANT, DOMINANT_LIFT = 3, 100.0, 0.03, 300.0
+#: Texts up to which a pair's counts in others are bounded, and by how much for each.
+FEW, EACH = 6, 3
 #: Share of a page's words in such lines that makes it spam, and the fewest words that a page is judged by.
 SHARE, FEWEST = 0.5, 12
 
@@ -128,26 +130,35 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Table:
-    """Corpus counts by key; a key that isn't there occurs in one text only."""
+    """Corpus counts by key, and in how many texts; a key that isn't there occurs in one text only."""
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray) -> None:
+    def __init__(self, keys: np.ndarray, n: np.ndarray, texts: np.ndarray) -> None:
         order = np.argsort(keys)
         # one more, so that a search for any key stays within
-        self.keys, self.n = np.append(keys[order], np.iinfo(np.int64).max), np.append(n[order], 0)
+        self.keys, self.n, self.texts = np.append(keys[order], np.iinfo(np.int64).max), np.append(n[order], 0), np.append(texts[order], 0)
 
     @classmethod
     def read(cls, path: str) -> _Table:
         from pyarrow import fs
 
         system, at = (fs.LocalFileSystem(), urlparse(path).path) if path.startswith(("/", "file:")) else fs.FileSystem.from_uri(path)
-        t = ds.dataset(at, filesystem=system, format="parquet").to_table(columns=["key", "n"], use_threads=False)
-        return cls(t.column("key").to_numpy(), t.column("n").to_numpy())
+        t = ds.dataset(at, filesystem=system, format="parquet").to_table(columns=["key", "n", "texts"], use_threads=False)
+        return cls(*(t.column(c).to_numpy() for c in ("key", "n", "texts")))
 
     def get(self, key: np.ndarray) -> np.ndarray:
         key = key.view(np.int64)
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.n[at], 0)
 
+    def elsewhere(self, key: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Counts outside of texts that have own of each key. Of few other texts each counts at most EACH: a page that was
+        taken over with small changes has all the pairs of the first one, as often."""
+        key = key.view(np.int64)
+        at = np.searchsorted(self.keys, key)
+        there = self.keys[at] == key
+        n, texts = np.where(there, self.n[at] - own, 0), self.texts[at]
+        return np.maximum(np.where(texts <= FEW, np.minimum(n, EACH * (texts - 1)), n), 0)
+
 
 def _listed(line: str) -> bool:
     parts = line.split()
@@ -175,7 +186,7 @@ def score(texts: list[str], table: _Table, total: int, codes: _Codes) -> tuple[n
     runs = np.diff(np.append(starts, len(key)))
     own, elsewhere = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
     own[order] = np.repeat(runs, runs)
-    elsewhere[order] = np.repeat(np.maximum(table.get(key[order[starts]]) - runs, 0), runs)
+    elsewhere[order] = np.repeat(table.elsewhere(key[order[starts]], runs), runs)
     used = np.unique(code[word])
     known = np.zeros(len(hashes), np.int64)
     known[used] = table.get(hashes[used])
@@ -231,9 +242,9 @@ def _scored(path: str | None, total: int):
             t = table
             if t is None:
                 k = np.concatenate([np.zeros(0, np.int64), *[np.array(x or [], np.int64) for x in b.column("keys").to_pylist()]])
-                n = np.concatenate([np.zeros(0, np.int64), *[np.array(x or [], np.int64) for x in b.column("counts").to_pylist()]])
+                n, m = (np.concatenate([np.zeros(0, np.int64), *[np.array(x or [], np.int64) for x in b.column(c).to_pylist()]]) for c in ("counts", "texts"))
                 k, at = np.unique(k, return_index=True)
-                t = _Table(k, n[at])
+                t = _Table(k, n[at], m[at])
             words, spam, pmi = score(texts, t, total, codes)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(words), pa.array(spam), pa.array(pmi)], names=["doc_id", "words", "spam_words", "pmi"])
 
@@ -252,7 +263,8 @@ def _keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def spam_pages(documents: DataFrame, most_counts: int = MOST_COUNTS) -> DataFrame:
     """(doc_id, words, spam_words, pmi, is_spam) of every page with a text.
 
-    Words and pairs of neighbours within a line are counted over the whole corpus. A page is read line by line: lines
+    Words and pairs of neighbours within a line are counted over all texts of the corpus, exact copies once, as else the
+    pairs of a much copied page would look like language. A page is read line by line: lines
     whose pairs carry little information are word salads, pairs that the page has far more often than the corpus
     are stuffed collocations, and lines of links or article numbers without a sentence are lists. A page is spam if most of
     its words are in such lines; pages of a few words never are. pmi is the page's mean information, in bits.
@@ -262,10 +274,10 @@ def spam_pages(documents: DataFrame, most_counts: int = MOST_COUNTS) -> DataFram
     result. Null and empty texts are left out; repeated rows are judged each; a null doc_id stays null.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("length(text) > 0")
-    counts = docs.select("text").mapInArrow(_count, "key long, n long, texts long, words long").groupBy("words", "key").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).where("texts > 1")
-    counts = cut(counts.select("words", "key", "n"), "counts")
+    counts = docs.select("text").distinct().mapInArrow(_count, "key long, n long, texts long, words long").groupBy("words", "key").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).where("texts > 1")
+    counts = cut(counts.select("words", "key", "n", "texts"), "counts")
     total = counts.where("words = 1").agg(F.sum("n")).first()[0] or 0
-    counts = counts.where("words = 0").select("key", "n")
+    counts = counts.where("words = 0").select("key", "n", "texts")
     out = "doc_id long, words long, spam_words long, pmi double"
     if counts.count() <= most_counts:
         scored = docs.mapInArrow(_scored(cut(counts, "pairs").inputFiles()[0].rpartition("/")[0], total), out)
@@ -273,7 +285,7 @@ def spam_pages(documents: DataFrame, most_counts: int = MOST_COUNTS) -> DataFram
         # rows are told apart by a number of their own, as ids may repeat
         own = cut(docs.withColumn("row", F.monotonically_increasing_id()), "texts")
         keys = own.select(F.col("row").alias("doc_id"), "text").mapInArrow(_keys_of, "doc_id long, key long")
-        held = keys.join(counts, "key").groupBy(F.col("doc_id").alias("row")).agg(F.collect_list(F.struct("key", "n")).alias("c"))
-        own = own.join(held.select("row", F.col("c.key").alias("keys"), F.col("c.n").alias("counts")), "row", "left")
-        scored = own.select("doc_id", "text", "keys", "counts").mapInArrow(_scored(None, total), out)
+        held = keys.join(counts, "key").groupBy(F.col("doc_id").alias("row")).agg(F.collect_list(F.struct("key", "n", "texts")).alias("c"))
+        own = own.join(held.select("row", F.col("c.key").alias("keys"), F.col("c.n").alias("counts"), F.col("c.texts").alias("texts")), "row", "left")
+        scored = own.select("doc_id", "text", "keys", "counts", "texts").mapInArrow(_scored(None, total), out)
     return scored.withColumn("is_spam", (F.col("words") >= FEWEST) & (F.col("spam_words") > SHARE * F.col("words")))
