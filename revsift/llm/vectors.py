@@ -24,6 +24,8 @@ LIST_ROWS, MOST_LISTS = 400, 4096
 PROBES, PARTS, CODES = 24, 16, 16
 #: Vectors of looked-up lists that a task holds at once, about.
 HELD_ROWS = 200_000
+#: Pairs found for a batch beyond which those that others surpass are dropped.
+HELD_PAIRS = 1_000_000
 #: How far an estimated cosine may fall below the wanted one for its pair to be computed exactly.
 SLACK = 0.46
 
@@ -132,6 +134,16 @@ def _lists(data: ds.Dataset, cells: list[int], width: int, k: int) -> dict[int,
     return {int(cell[a]): (ids[a:b], codes[:, a:b], v[a:b]) for a, b in zip(starts, [*starts[1:], len(cell)])}
 
 
+def _best(i: np.ndarray, ids: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs that may still be among a row's k best: its own vector, k others, and all that are as near as the last of them."""
+    order = np.lexsort((-cos, i))
+    i, ids, cos = i[order], ids[order], cos[order]
+    start = np.searchsorted(i, i)
+    last = np.minimum(start + k, np.searchsorted(i, i, side="right") - 1)
+    keep = cos >= cos[last]
+    return i[keep], ids[keep], cos[keep]
+
+
 def _pairs(q: np.ndarray, k: int, least: float | None, probes: int, data: ds.Dataset, model: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of q, padded ids, rounded cosine) of the vectors that may belong to a result, the rows' own among them."""
     c, books, sizes = model
@@ -155,7 +167,8 @@ def _pairs(q: np.ndarray, k: int, least: float | None, probes: int, data: ds.Dat
             rows = 0
         runs[-1].append(cell)
         rows += sizes[cell]
-    out = [], [], []
+    out: tuple[list, list, list] = ([], [], [])
+    held = 0
     for run in runs:
         for cell, (ids, code, vectors) in _lists(data, run, q.shape[1], k).items():
             exact = None
@@ -170,7 +183,7 @@ def _pairs(q: np.ndarray, k: int, least: float | None, probes: int, data: ds.Dat
                     if least is not None:
                         bound = least - SLACK - score[mine, cell]
                     else:
-                        best = min(4 * k, hi - lo)
+                        best = min(8 * k, hi - lo)
                         bound = np.partition(guess, hi - lo - best, axis=1)[:, hi - lo - best]
                     i, j = np.nonzero(guess >= bound[:, None])
                     if not len(i):
@@ -183,6 +196,10 @@ def _pairs(q: np.ndarray, k: int, least: float | None, probes: int, data: ds.Dat
                         i, j, cos = i[keep], j[keep], cos[keep]
                     for o, y in zip(out, (i, ids[j], cos)):
                         o.append(y)
+                    held += len(i)
+                    if held > HELD_PAIRS:
+                        out = tuple([x] for x in _best(*map(np.concatenate, out), k))
+                        held = len(out[0][0])
     if not out[0]:
         return np.zeros(0, int), np.zeros((0, k + 1), np.int64), np.zeros(0)
     return tuple(np.concatenate(o) for o in out)
