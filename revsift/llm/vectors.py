@@ -152,9 +152,9 @@ def _pairs(q: np.ndarray, k: int, least: float | None, probes: int, data: ds.Dat
     score = x @ c.T
     p = min(probes, len(c))
     cells = np.argpartition(-score, p - 1, axis=1)[:, :p]
-    # a row's table: its product with every code of every part
-    tables = np.hstack([np.ascontiguousarray(s) @ b.T for s, b in zip(np.split(x, len(books), axis=1), books)])
-    width, shift = tables.shape[1], np.arange(len(books))[:, None] * books.shape[1]
+    # a row's table is its product with every code of every part; rows shorter than that are taken as they are
+    width, shift = books.shape[0] * books.shape[1], np.arange(len(books))[:, None] * books.shape[1]
+    tables = x if width > x.shape[1] else np.hstack([np.ascontiguousarray(s) @ b.T for s, b in zip(np.split(x, len(books), axis=1), books)])
     flat, who = cells.ravel(), np.repeat(np.arange(len(q)), p)
     order = np.argsort(flat, kind="stable")
     flat, who = flat[order], who[order]
@@ -174,9 +174,13 @@ def _pairs(q: np.ndarray, k: int, least: float | None, probes: int, data: ds.Dat
             exact = None
             for lo in range(0, len(ids), 4096):  # a list of any length, in blocks
                 hi = min(lo + 4096, len(ids))
-                # each code's places in a table, so that one product looks up and adds all entries of all pairs
-                places = np.zeros((hi - lo, width), np.float32)
-                places[np.arange(hi - lo), code[:, lo:hi] + shift] = 1
+                if width <= x.shape[1]:
+                    # each code's places in a table, so that one product looks up and adds all entries of all pairs
+                    places = np.zeros((hi - lo, width), np.float32)
+                    places[np.arange(hi - lo), code[:, lo:hi] + shift] = 1
+                else:
+                    # the same sums in another order of the factors: (row x codebooks) x places = row x (codebooks x places)
+                    places = np.hstack([b[m] for b, m in zip(books, code[:, lo:hi])])
                 for qa in range(0, len(ours[cell]), 2048):
                     mine = ours[cell][qa : qa + 2048]
                     guess = tables[mine] @ places.T
