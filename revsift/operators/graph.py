@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from revsift.common import cut
 
+#: Ranks are final when all together change by less than this a node, and after so many rounds at the latest.
+TOLERANCE, MOST_ROUNDS = 1e-6, 100
+
 
 def clean_edges(edges: DataFrame) -> DataFrame:
     """Distinct edges without loops and nulls."""
@@ -60,9 +63,10 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(out, "node", "left").join(into, "node", "left").fillna(0, ["out_degree", "in_degree"])
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, alpha: float = 0.85, rounds: int = 20) -> DataFrame:
-    """(node, rank) after a fixed number of rounds from uniform ranks; the teleport is uniform, or over seeds.node.
+def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, alpha: float = 0.85, rounds: int | None = None) -> DataFrame:
+    """(node, rank) from uniform ranks; the teleport is uniform, or over seeds.node.
 
+    Rounds go on until all ranks together change by less than TOLERANCE a node, at most MOST_ROUNDS; or a given number of them.
     The mass of nodes without out-edges goes where the teleport goes. Without a seed among the nodes all ranks are 0.
     """
     nodes = cut(nodes.select("node").distinct(), "nodes")
@@ -79,11 +83,15 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
     links = cut(edges.join(out, "src"), "links")
     base = cut(base.join(out.withColumnRenamed("src", "node"), "node", "left"), "base")
     rank = base.select("node", "p", "deg", F.lit(1.0 / max(n, 1)).alias("rank"))
-    for _ in range(rounds):
+    for _ in range(MOST_ROUNDS if rounds is None else rounds):
         lost = rank.where("deg is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         got = rank.join(links, rank["node"] == links["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / links["deg"]).alias("got"))
-        rank = base.join(got, "node", "left").crossJoin(F.broadcast(lost))  # lost is one row
-        rank = cut(rank.select("node", "p", "deg", (alpha * F.coalesce("got", F.lit(0.0)) + alpha * F.col("lost") * F.col("p") + (1 - alpha) * F.col("p")).alias("rank")), "rank")
+        new = rank.join(got, "node", "left").crossJoin(F.broadcast(lost))  # lost is one row
+        new = new.select("node", "p", "deg", (alpha * F.coalesce("got", F.lit(0.0)) + alpha * F.col("lost") * F.col("p") + (1 - alpha) * F.col("p")).alias("rank"), F.col("rank").alias("was"))
+        new = cut(new, "rank")
+        rank = new.drop("was")
+        if rounds is None and (new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0) < n * TOLERANCE:
+            break
     return rank.select("node", "rank")
 
 

@@ -30,7 +30,7 @@ def predictive(scores: DataFrame, changed: DataFrame | None = None, threshold: f
     return (hit.unionByName(changed.select("node")) if changed is not None else hit).distinct()
 
 
-def pagerank_propagation(nodes: DataFrame, changed: DataFrame, edges: DataFrame, share: float = SHARE, rounds: int = 20) -> DataFrame:
+def pagerank_propagation(nodes: DataFrame, changed: DataFrame, edges: DataFrame, share: float = SHARE, rounds: int | None = None) -> DataFrame:
     """What changed, and the nodes nearest to it by personalised rank until a share of all nodes is reached; ties by node."""
     nodes, changed = nodes.select("node").distinct(), changed.select("node").distinct()
     rank = cut(pagerank(nodes, clean_edges(edges), changed, rounds=rounds), "rank")

@@ -216,6 +216,20 @@ def personalised_rank_6(spark, d):
     return graph.pagerank(nodes, e, changed, rounds=6).select("node", F.round("rank", 9).alias("rank"))
 
 
+@query()
+def pagerank(spark, d):
+    """To the tolerance; pagerank_6 is its first six rounds, which SQL can say."""
+    nodes, e, _ = commit_graph(spark, d)
+    return graph.pagerank(nodes, e).select("node", F.round("rank", 9).alias("rank"))
+
+
+@query()
+def personalised_rank(spark, d):
+    """To the tolerance; personalised_rank_6 is its first six rounds."""
+    nodes, e, changed = commit_graph(spark, d)
+    return graph.pagerank(nodes, e, changed).select("node", F.round("rank", 9).alias("rank"))
+
+
 @query(f"""WITH RECURSIVE {_G}, d AS (SELECT dst, count(*) AS indeg FROM e GROUP BY dst), s AS (SELECT e.src, e.dst, .25 + .3 / greatest(indeg, 1) AS f FROM e JOIN d USING (dst)),
 r AS (SELECT node, 1.0::DOUBLE AS strength, 0 AS h FROM ch UNION SELECT s.src, strength * f, h + 1 FROM r JOIN s ON r.node = s.dst WHERE strength * f >= .05 AND h < 6) SELECT node, round(max(strength), 9) AS strength FROM r GROUP BY node""")
 def decayed_strength(spark, d):
@@ -266,8 +280,9 @@ def strategy_fixed_hop(spark, d):
 
 @query(_SEEDED + ", x AS (SELECT node, row_number() OVER (ORDER BY round(rank, 12) DESC, node) AS i FROM r6 WHERE rank > 0 AND node NOT IN (SELECT node FROM ch)) SELECT node FROM ch UNION SELECT node FROM x WHERE i <= greatest(0, floor(.3 * (SELECT count(*) FROM n)) - (SELECT count(*) FROM ch))")
 def strategy_pagerank(spark, d):
+    """Ranks to the tolerance; the SQL's are those of six rounds, so its choice may differ where ranks are close."""
     nodes, e, changed = commit_graph(spark, d)
-    return strategies.pagerank_propagation(nodes, changed, e, rounds=6)
+    return strategies.pagerank_propagation(nodes, changed, e)
 
 
 @query(SQL["decayed_strength"].replace("SELECT node, round(max(strength), 9) AS strength FROM r GROUP BY node", "SELECT DISTINCT node FROM r"))
