@@ -30,8 +30,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """All 5 neighbours of every vector, near or far: with more probes, as far neighbours are spread over many lists."""
-    return similar_comparisons(load(spark, d, "embedding_comparisons"), probes=320)
+    """All 5 neighbours of every vector, near or far: with more probes, as far neighbours are spread over many lists, a share
+    of however many there are."""
+    return similar_comparisons(load(spark, d, "embedding_comparisons"), probes=320, share=0.4)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

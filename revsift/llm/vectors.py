@@ -144,18 +144,23 @@ def _best(i: np.ndarray, ids: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.n
     return i[keep], ids[keep], cos[keep]
 
 
-def _pairs(q: np.ndarray, k: int, least: float | None, probes: int, data: ds.Dataset, model: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _probed(x: np.ndarray, c: np.ndarray, probes: int, share: float) -> np.ndarray:
+    """The lists nearest to each row: so many, or that share of all lists if it is more."""
+    p = min(max(probes, int(np.ceil(share * len(c)))), len(c))
+    return np.concatenate([np.argpartition(-(b @ c.T), p - 1, axis=1)[:, :p].astype(np.uint16) for b in np.array_split(x, max(1, len(x) // 1024))])
+
+
+def _pairs(q: np.ndarray, k: int, least: float | None, probes: int, share: float, data: ds.Dataset, model: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of q, padded ids, rounded cosine) of the vectors that may belong to a result, the rows' own among them."""
     c, books, sizes = model
     unit = _unit(q)
     x = unit.astype(np.float32)
     score = x @ c.T
-    p = min(probes, len(c))
-    cells = np.argpartition(-score, p - 1, axis=1)[:, :p]
+    cells = _probed(x, c, probes, share)
     # a row's table is its product with every code of every part; rows shorter than that are taken as they are
     width, shift = books.shape[0] * books.shape[1], np.arange(len(books))[:, None] * books.shape[1]
     tables = x if width > x.shape[1] else np.hstack([np.ascontiguousarray(s) @ b.T for s, b in zip(np.split(x, len(books), axis=1), books)])
-    flat, who = cells.ravel(), np.repeat(np.arange(len(q)), p)
+    flat, who = cells.ravel(), np.repeat(np.arange(len(q), dtype=np.int32), cells.shape[1])
     order = np.argsort(flat, kind="stable")
     flat, who = flat[order], who[order]
     needed, first = np.unique(flat, return_index=True)
@@ -209,7 +214,7 @@ def _pairs(q: np.ndarray, k: int, least: float | None, probes: int, data: ds.Dat
     return tuple(np.concatenate(o) for o in out)
 
 
-def _search(path: str, models: dict, k: int, least: float | None, probes: int):
+def _search(path: str, models: dict, k: int, least: float | None, probes: int, share: float):
     """For batches of the index's rows: for each id of a row, its k most similar others. A row with rest set holds, under the
     row's smallest id, the result of any further id of its direction."""
 
@@ -222,7 +227,7 @@ def _search(path: str, models: dict, k: int, least: float | None, probes: int):
                 data.setdefault(w, _dataset(path, w))
                 own = t.column("ids").to_pylist()
                 lead = np.array([o[0] for o in own])
-                i, ids, cos = _pairs(_matrix(t.column("v"), w), k, least, probes, data[w], models[w])
+                i, ids, cos = _pairs(_matrix(t.column("v"), w), k, least, probes, share, data[w], models[w])
                 other = ids[:, 0] != lead[i]
                 i, ids, cos = i[other], ids[other], cos[other]
                 real = ids >= 0
@@ -248,9 +253,10 @@ def _search(path: str, models: dict, k: int, least: float | None, probes: int):
     return run
 
 
-def nearest(rows: DataFrame, id_: str, vector: str, k: int = 5, least: float | None = None, probes: int = PROBES) -> DataFrame:
+def nearest(rows: DataFrame, id_: str, vector: str, k: int = 5, least: float | None = None, probes: int = PROBES, share: float = 0.0) -> DataFrame:
     """(id, neighbour_id, cosine): of every vector its k most similar others of equal length, by cosine rounded to 6
-    decimals and then by id. With `least`, only neighbours of at least that cosine are looked for.
+    decimals and then by id. With `least`, only neighbours of at least that cosine are looked for. Each vector probes so
+    many lists, or that share of all lists if it is more.
 
     Vectors that are null, empty, all zeros or hold a null, NaN or infinity take no part. An id counts once; if its rows
     hold several directions, the one with the smallest digest. Vectors of one direction (equal after rounding to 5
@@ -292,14 +298,14 @@ def nearest(rows: DataFrame, id_: str, vector: str, k: int = 5, least: float | N
     for w, cell, n in index.groupBy("width", "cell").count().collect():  # MOST_LISTS rows a length at most
         sizes[w][cell] = n
     models = {w: (*fitted[w], sizes[w]) for w in fitted}
-    found = cut(index.select("width", "ids", "v").mapInArrow(_search(path, models, k, least, probes), "id long, neighbour_id long, cosine double, rest boolean"), "neighbours")
+    found = cut(index.select("width", "ids", "v").mapInArrow(_search(path, models, k, least, probes, share), "id long, neighbour_id long, cosine double, rest boolean"), "neighbours")
     full = index.where(F.size("ids") == k + 1).select("width", "way", F.col("ids")[0].alias("first_id"), F.element_at("ids", -1).alias("top"))
     more = x.select("width", "way", "id").join(small(full), ["width", "way"]).where("id > top").select("id", "first_id").distinct()
     more = more.join(small(found.where("rest").select(F.col("id").alias("first_id"), "neighbour_id", "cosine")), "first_id").select("id", "neighbour_id", "cosine")
     return found.where("not rest").select("id", "neighbour_id", "cosine").unionByName(more)
 
 
-def similar_comparisons(comparisons: DataFrame, k: int = 5, least: float | None = None, probes: int = PROBES) -> DataFrame:
+def similar_comparisons(comparisons: DataFrame, k: int = 5, least: float | None = None, probes: int = PROBES, share: float = 0.0) -> DataFrame:
     """nearest over the candidate vectors of embedding comparisons, or where that is null the baseline vectors."""
     x = comparisons.select("comparison_id", F.coalesce("candidate_raw_vector", "baseline_raw_vector").alias("vector"))
-    return nearest(x, "comparison_id", "vector", k, least, probes)
+    return nearest(x, "comparison_id", "vector", k, least, probes, share)

@@ -47,3 +47,19 @@ def test_recall_of_many_lists(spark, monkeypatch):
 
 def test_empty(spark):
     assert found(spark, []) == {} and found(spark, [(1, [1.0, 2.0])]) == {}
+
+
+def test_far_neighbours_of_many_lists(spark, monkeypatch, tmp_path):
+    from revsift.llm.queries import p2_neighbours
+
+    monkeypatch.setattr(vectors, "LIST_ROWS", 3)
+    monkeypatch.setattr(vectors, "SAMPLE", 2000)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 64)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist(), None) for i, v in enumerate(x)], "comparison_id long, candidate_raw_vector array<float>, baseline_raw_vector array<float>").write.parquet(f"{tmp_path}/embedding_comparisons.parquet")
+    got = {}
+    for r in p2_neighbours(spark, str(tmp_path)).collect():
+        got.setdefault(r["id"], set()).add(r["neighbour_id"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.argsort(-(u @ u.T - 2 * np.eye(len(u))), axis=1)[:, :5]
+    assert np.mean([len(got[i] & set(n.tolist())) / 5 for i, n in enumerate(near)]) >= 0.9
