@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -27,6 +28,8 @@ UNITS = frozenset("ms sec secs second seconds min mins minute minutes hour hours
 
 _WORD = re.compile(r"[^\W_]+")
 _BREAKS = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum()})
+_CHUNK = re.compile(r"[^\W_]+(?:[_.][^\W_]+)*")
+_ENDS = re.compile(r"""[.!?:;\n"'()\[\]<>*#-]""")
 _ODD = re.compile(r"[^\x00-\x7f]")
 #: An odd factor and its inverse modulo 2**64, which takes a window's place out of its hash.
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -54,6 +57,38 @@ def slot(word: str, names: frozenset[str]) -> str | None:
     return None
 
 
+@lru_cache(1 << 17)
+def _chunk(c: str, names: frozenset[str]) -> tuple[list[tuple[str, str | None]], bool, bool]:
+    """(words and their slots, whether it is a name by form, whether it is one if it doesn't start a sentence)."""
+    w = [(x, slot(x, names)) for x in words(c)]
+    rest = any(k != "<number>" for _, k in w)
+    return w, rest and ("_" in c or "." in c or any(map(str.isupper, c[1:]))), rest and c[0].isupper() and len(c) > 1
+
+
+def template(text: str, names: frozenset[str]) -> list[str]:
+    """Plain words, and slots as their type and words: a run of words of one type is one slot, whatever their number.
+
+    Names are also told by form: joined by _ or ., letters mixed with digits, capitals inside a word, or a capital first
+    letter anywhere but at the start of a sentence.
+    """
+    if _ODD.search(text):
+        text = "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf")
+    out, last, end = [], None, 0
+    for m in _CHUNK.finditer(text):
+        w, odd, capital = _chunk(m.group(), names)
+        named = odd or (capital and end and _ENDS.search(text, end, m.start()) is None)
+        end = m.end()
+        for x, k in w:
+            if named:
+                k = "<name>"
+            if k and k == last:
+                out[-1] += "_" + x
+            else:
+                out.append(k + x if k else x)
+            last = k
+    return out
+
+
 def _hash(word: str) -> int:
     return int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little") | 1
 
@@ -65,10 +100,11 @@ class _Hasher:
         self.names, self.known = names, {}
 
     def of(self, w: list[str]) -> np.ndarray:
+        """Of words, or of templates."""
         known = self.known
         if len(known) > 1_000_000:
             known.clear()
-        out = [known.get(x) or known.setdefault(x, _hash(slot(x, self.names) or x)) for x in w]
+        out = [known.get(x) or known.setdefault(x, _hash(x[: x.index(">") + 1] if x[0] == "<" else slot(x, self.names) or x)) for x in w]
         return np.array(out, np.uint64)
 
     @staticmethod
@@ -83,13 +119,13 @@ class _Hasher:
             return (total[size:] - total[:-size]) * back + np.uint64(size)
 
 
-def _case_windows(names: frozenset[str], size: int):
+def _case_windows(names: frozenset[str], size: int, merged: bool = False):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = _Hasher(names)
         for p in batches:
             rows = []
             for q, text in zip(p["query_id"], p["query_text"]):
-                w = words(text)
+                w = template(text, names) if merged else words(text)
                 if w:
                     n = min(size, len(w))
                     rows += [(q, n, int(np.uint64(x).view(np.int64)), " ".join(w[i : i + n])) for i, x in enumerate(_Hasher.windows(hasher.of(w), n))]
@@ -98,13 +134,13 @@ def _case_windows(names: frozenset[str], size: int):
     return run
 
 
-def _text_windows(names: frozenset[str], lengths: list[int], hashes: np.ndarray | None):
+def _text_windows(names: frozenset[str], lengths: list[int], hashes: np.ndarray | None, merged: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher(names)
         for b in batches:
             doc, size, mark, passage = [], [], [], []
             for i, t in zip(b.column("doc_id"), b.column("text")):
-                w = words(t.as_py())
+                w = template(t.as_py(), names) if merged else words(t.as_py())
                 h = hasher.of(w)
                 for n in lengths:
                     x = _Hasher.windows(h, n).view(np.int64)
@@ -133,7 +169,7 @@ def _consistent(names: frozenset[str]):
         for x, y in zip(a, b):
             there, back, plain, good = {}, {}, 0, True
             for v, w in zip(x.split(" "), y.split(" ")):
-                s, t = slot(v, names), slot(w, names)
+                s, t = (v[: v.find(">") + 1] or slot(v, names), w[: w.find(">") + 1] or slot(w, names))
                 if s != t or (s is None and v != w) or (s is not None and (there.setdefault(v, w) != w or back.setdefault(w, v) != v)):
                     good = False
                     break
@@ -144,7 +180,20 @@ def _consistent(names: frozenset[str]):
     return same
 
 
-def leaked_cases(documents: DataFrame, cases: DataFrame, window: int = WINDOW) -> DataFrame:
+def _joined(docs: DataFrame, texts: DataFrame, names: frozenset[str], window: int, merged: bool) -> DataFrame:
+    """(doc_id, query_id, n, passage, asked, verbatim): windows of both sides that have the same hash."""
+    wanted = cut(texts.mapInPandas(_case_windows(names, window, merged), "query_id string, n int, hash long, passage string").distinct(), "case-windows")
+    lengths = sorted(r[0] for r in wanted.select("n").distinct().collect())  # at most `window` of them
+    marks = wanted.select("hash").distinct().limit(MOST_HASHES + 1)
+    marks = np.sort(np.array([r[0] for r in marks.collect()], np.int64))
+    hashes = marks if len(marks) <= MOST_HASHES else None
+    held = docs.mapInArrow(_text_windows(names, lengths, hashes, merged), "doc_id long, n int, hash long, passage string")
+    both = held.join(small(wanted.withColumnRenamed("passage", "asked")), ["n", "hash"])
+    same = F.col("passage") == F.col("asked")
+    return cut(both.select("doc_id", "query_id", "n", "passage", "asked", same.alias("verbatim")).distinct(), "leaks")
+
+
+def leaked_cases(documents: DataFrame, cases: DataFrame, window: int = WINDOW, merged: bool = False) -> DataFrame:
     """(doc_id, query_id, verbatim, windows): documents that hold a passage of an evaluation text, and which.
 
     A passage is `window` consecutive words of the text, or all of a shorter one. Numbers, units and names (words of
@@ -152,6 +201,9 @@ def leaked_cases(documents: DataFrame, cases: DataFrame, window: int = WINDOW) -
     of templates are joined by hash and then compared word by word: verbatim if all words are equal, else a re-parameterised copy if
     the slots map one to one and enough plain words are left (short texts count only verbatim). windows: distinct windows.
 
+    With `merged`, windows of `template` are joined as well: names are also told by form, slots of any number of words match,
+    and texts shorter than a window are tried with other slots. Their windows are counted too.
+
     The evaluation set's window hashes go to every task if they are few (checked), and only windows of the corpus with
     such a hash leave their task; otherwise all windows are joined by a shuffle. Null or empty texts on either side give
     nothing; a repeated row counts once, and texts under several ids are reported for each.
@@ -159,17 +211,13 @@ def leaked_cases(documents: DataFrame, cases: DataFrame, window: int = WINDOW) -
     names = cases.select(F.explode(F.split(F.lower(F.concat_ws(" ", "target_entity_id", "target_entity_name", "file_path")), r"[^\p{L}\p{N}]+")).alias("w")).where("length(w) > 2").distinct().limit(MOST_HASHES // 20)
     names = frozenset(r[0] for r in names.collect())
     texts = cases.select(F.col("query_id").cast("string").alias("query_id"), "query_text").where("query_id is not null and length(query_text) > 0").distinct()
-    wanted = cut(texts.mapInPandas(_case_windows(names, window), "query_id string, n int, hash long, passage string").distinct(), "case-windows")
-    lengths = sorted(r[0] for r in wanted.select("n").distinct().collect())  # at most `window` of them
-    marks = wanted.select("hash").distinct().limit(MOST_HASHES + 1)
-    marks = np.sort(np.array([r[0] for r in marks.collect()], np.int64))
-    hashes = marks if len(marks) <= MOST_HASHES else None
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and length(text) > 0")
-    held = docs.mapInArrow(_text_windows(names, lengths, hashes), "doc_id long, n int, hash long, passage string")
-    both = held.join(small(wanted.withColumnRenamed("passage", "asked")), ["n", "hash"])
-    same = F.col("passage") == F.col("asked")
-    both = both.select("doc_id", "query_id", "n", "passage", "asked", same.alias("verbatim")).distinct()
-    both = cut(both, "leaks")
+    both = _joined(docs, texts, names, window, False)
     exact = both.where("verbatim").select("doc_id", "query_id", "verbatim", "passage")
-    other = both.where(f"not verbatim and n = {window}").where(F.pandas_udf(_consistent(names), "boolean")("asked", "passage")).select("doc_id", "query_id", "verbatim", "passage")
+    consistent = F.pandas_udf(_consistent(names), "boolean")("asked", "passage")
+    other = both.where(f"not verbatim and n = {window}").where(consistent).select("doc_id", "query_id", "verbatim", "passage")
+    if merged:
+        more = _joined(docs, texts, names, window, True).where("not verbatim").where(consistent)
+        plain = F.translate(F.regexp_replace("passage", "<[a-z]+>", ""), "_", " ")
+        other = other.unionByName(more.select("doc_id", "query_id", "verbatim", plain.alias("passage")))
     return exact.unionByName(other).groupBy("doc_id", "query_id").agg(F.max("verbatim").alias("verbatim"), F.countDistinct("passage").alias("windows"))

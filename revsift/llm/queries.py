@@ -75,7 +75,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Also re-parameterised copies."""
-    return leaked_cases(load(spark, d, "documents"), load(spark, d, "query_cases"))
+    return leaked_cases(load(spark, d, "documents"), load(spark, d, "query_cases"), merged=True)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
