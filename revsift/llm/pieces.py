@@ -33,8 +33,8 @@ def boundary_pattern(most: int) -> str:
 def cut_pieces(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
     """The pieces of a text: each has at most `limit` characters and begins with the last `overlap` of what is before it.
 
-    Characters are code points. Of two neighbouring steps one is longer than half a step, so looking back over two of them
-    always finds the overlap. Without the first `overlap` characters of all but the first, the pieces make up the text.
+    Characters are code points. The overlap is mostly in the two steps before; where these are shorter, so many steps as it has
+    characters are looked back over, as none is empty. Without the first `overlap` characters of all but the first, the pieces make up the text.
     """
     if not 0 <= overlap * 4 <= limit or limit - overlap < 16:
         raise ValueError("the overlap must be at most a quarter of the limit")
@@ -43,7 +43,11 @@ def cut_pieces(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Colu
         return steps
 
     def joined(x: Column) -> Column:
-        before = lambda i: F.right(F.concat(F.coalesce(F.get(x, i - 2), F.lit("")), F.get(x, i - 1)), F.lit(overlap))
+        def before(i: Column) -> Column:
+            two = F.concat(F.coalesce(F.get(x, i - 2), F.lit("")), F.get(x, i - 1))
+            more = F.array_join(F.slice(x, F.greatest(i - overlap, F.lit(0)) + 1, F.least(i, F.lit(overlap))), "")
+            return F.right(F.when((F.length(two) < overlap) & (i > 2), more).otherwise(two), F.lit(overlap))
+
         return F.transform(x, lambda s, i: F.when(i == 0, s).otherwise(F.concat(before(i), s)))
 
     return bound(steps, joined)
