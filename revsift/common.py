@@ -6,12 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The most rows of a side that is broadcast without a look at its bytes (a row is a few short columns).
-BROADCAST_ROWS = 50_000
+#: The most rows, and bytes by Spark's estimate, of a side that is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 64 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,12 +43,30 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows, else unchanged (a shuffle join, split by AQE where skewed).
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark's own file system names it, scheme and all, for readers outside of Spark."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def dataset(uri: str):
+    """The Parquet files below a qualified path, for tasks that look rows up by their key."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    at = urlparse(uri)
+    system, path = (fs.LocalFileSystem(), at.path) if at.scheme in ("", "file") else fs.FileSystem.from_uri(uri)
+    return ds.dataset(path, filesystem=system, format="parquet")
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if it is estimated at so many bytes and has so many rows at most, else unchanged (a shuffle
+    join, split by AQE where skewed).
 
     df should be cheap to count: a table that was cut, or a scan. The count stops just beyond the bound.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= most_bytes and df.limit(most + 1).count() <= most else df
 
 
 def partitions(spark: SparkSession) -> int:

@@ -15,6 +15,16 @@ def lower_collapse(text: Column) -> Column:
     return F.lower(collapse(text))
 
 
+def commit_key(value: Column) -> Column:
+    """What a spelling of a commit is known by: the first 8 hexadecimal digits in lower case; null if it names no commit.
+
+    A commit is named by 8 to 40 hexadecimal digits, white space around them aside. Zeros alone are Git's null id, which
+    stands for "no commit".
+    """
+    v = F.lower(F.regexp_replace(value, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    return F.when(v.rlike(r"\A(?!0+\z)[0-9a-f]{8,40}\z"), F.substring(v, 1, 8))
+
+
 def split_identifier(name: Column) -> Column:
     """camelCase and snake_case as an array of words in lower case."""
     x = F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")

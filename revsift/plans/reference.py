@@ -40,21 +40,16 @@ _PAIRS = """pairs AS (SELECT * FROM (SELECT lag(commit_hash) OVER (PARTITION BY
   FROM (SELECT repo, commit_hash, min(seq) AS seq FROM commits WHERE commit_hash IN (SELECT commit_hash FROM entities) GROUP BY ALL)) WHERE commit_before IS NOT NULL)"""
 
 
-def _key(c: str):
-    v = F.lower(F.trim(F.regexp_replace(c, r"^\s+|\s+$", "")))
-    return F.when(v.rlike(r"\A[0-9a-f]{8,40}\z"), F.substring(v, 1, 8))
-
-
 def commit_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, changed): commits that dataset rows lead from and to, and those that comparisons found entities modified at."""
-    e = cut(graph.clean_edges(load(spark, d, "dataset_rows").select(_key("commit_before").alias("src"), _key("commit_after").alias("dst"))), "commit-edges")
+    e = cut(graph.clean_edges(load(spark, d, "dataset_rows").select(text.commit_key(F.col("commit_before")).alias("src"), text.commit_key(F.col("commit_after")).alias("dst"))), "commit-edges")
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     changed = load(spark, d, "embedding_comparisons").where("status = 'modified' and semantic_drift >= 0.1").select(F.substring("commit_after", 1, 8).alias("node")).distinct().join(nodes, "node", "left_semi")
     return nodes, e, changed
 
 
 _G = r"""k AS (SELECT lower(regexp_replace(commit_before, '^\s+|\s+$', '', 'g')) AS a, lower(regexp_replace(commit_after, '^\s+|\s+$', '', 'g')) AS b FROM dataset_rows),
-e AS (SELECT DISTINCT left(a, 8) AS src, left(b, 8) AS dst FROM k WHERE regexp_full_match(a, '[0-9a-f]{8,40}') AND regexp_full_match(b, '[0-9a-f]{8,40}') AND left(a, 8) <> left(b, 8)),
+e AS (SELECT DISTINCT left(a, 8) AS src, left(b, 8) AS dst FROM k WHERE regexp_full_match(a, '[0-9a-f]{8,40}') AND regexp_full_match(b, '[0-9a-f]{8,40}') AND NOT regexp_full_match(a, '0+') AND NOT regexp_full_match(b, '0+') AND left(a, 8) <> left(b, 8)),
 n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
 ch AS (SELECT DISTINCT left(commit_after, 8) AS node FROM embedding_comparisons WHERE status = 'modified' AND semantic_drift >= 0.1 AND left(commit_after, 8) IN (SELECT node FROM n))"""
 

@@ -2,15 +2,15 @@ from revsift.plans.reference import QUERIES
 
 
 def tables(spark, path, edges, changed):
-    """Tables of a commit graph: commits are numbers, written as hashes."""
-    name = lambda i: f"{i:08x}"
+    """Tables of a commit graph: commits are numbers, written as hashes from 16 on, as zeros alone name no commit."""
+    name = lambda i: f"{i + 16:08x}"
     spark.createDataFrame([(name(a), name(b)) for a, b in edges], "commit_before string, commit_after string").write.parquet(f"{path}/dataset_rows.parquet")
     spark.createDataFrame([(name(c), "modified", 0.5) for c in changed], "commit_after string, status string, semantic_drift double").write.parquet(f"{path}/embedding_comparisons.parquet")
     return str(path)
 
 
 def result(spark, d, name):
-    return {int(r[0], 16): r[1] for r in QUERIES[name](spark, d).collect()}
+    return {int(r[0], 16) - 16: r[1] for r in QUERIES[name](spark, d).collect()}
 
 
 def test_far_commits_have_a_distance(spark, tmp_path):
@@ -53,4 +53,12 @@ def test_strategy_chooses_by_final_ranks(spark, tmp_path, monkeypatch):
     edges = [(0, 1), (1, 0), (2, 0), (3, 0), (4, 0)]
     QUERIES["strategy_pagerank"](spark, tables(spark, tmp_path, edges, [0])).collect()
     want = ranks(edges, [0])
-    assert sum(abs(r["rank"] - want[int(r["node"], 16)]) for r in asked[0].collect()) < 4e-5
+    assert sum(abs(r["rank"] - want[int(r["node"], 16) - 16]) for r in asked[0].collect()) < 4e-5
+
+
+def test_zeros_name_no_commit(spark, tmp_path):
+    a, b, c = "a" * 40, "b" * 40, "c" * 40
+    rows = [(a, b), ("0" * 40, a), (b, "00000000"), ("0" * 40, c), (f" {c[:9].upper()}", a)]
+    spark.createDataFrame(rows, "commit_before string, commit_after string").write.parquet(f"{tmp_path}/dataset_rows.parquet")
+    spark.createDataFrame([], "commit_after string, status string, semantic_drift double").write.parquet(f"{tmp_path}/embedding_comparisons.parquet")
+    assert {tuple(r) for r in QUERIES["degree_features"](spark, str(tmp_path)).collect()} == {("aaaaaaaa", 1, 1), ("bbbbbbbb", 0, 1), ("cccccccc", 1, 0)}
