@@ -106,7 +106,7 @@ SQL = {
     "p3_found": r"""
 WITH RECURSIVE x AS (SELECT row_id, lower(regexp_replace(v, '^\s+|\s+$', '', 'g')) AS v FROM
     (SELECT row_id, commit_before AS v FROM dataset_rows UNION ALL SELECT row_id, commit_after FROM dataset_rows)),
-k AS (SELECT DISTINCT row_id, left(v, 8) AS k FROM x WHERE regexp_full_match(v, '[0-9a-f]{8,40}')),
+k AS (SELECT DISTINCT row_id, left(v, 8) AS k FROM x WHERE regexp_full_match(v, '[0-9a-f]{8,40}') AND NOT regexp_full_match(v, '0+')),
 e AS (SELECT DISTINCT a.k AS u, b.k AS v FROM k a JOIN k b USING (row_id)),
 reach(u, v) AS (SELECT u, v FROM e UNION SELECT reach.u, e.v FROM reach JOIN e ON reach.v = e.u),
 root AS (SELECT u, min(v) AS root FROM reach GROUP BY u),

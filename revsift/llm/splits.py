@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revsift.common import cut, partitions, small
+from revsift.common import cut, small
+from revsift.functions.text import commit_key
 from revsift.operators.graph import components
 
 #: Components with more than this share of all rows are placed one by one, first: there are at most 1 / HEAVY of them.
 HEAVY = 1 / 2000
 #: Components in a block that is annealed on its own, about; steps for each of them; chains, of which the best is kept.
-BLOCK, STEPS, CHAINS = 20_000, 30, 3
-NO_LABEL = ""
-
-
-def commit_key(value: Column) -> Column:
-    """What a spelling of a commit is known by: the first 8 hexadecimal digits in lower case; null if it names no commit."""
-    v = F.lower(F.regexp_replace(value, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
-    return F.when(v.rlike(r"\A[0-9a-f]{8,40}\z"), F.substring(v, 1, 8))
+BLOCK, STEPS, CHAINS = 4_000, 30, 3
+#: The rows below that share, as so many equal parts, stand for them while the large components are placed.
+GRAINS = 200
+#: Labels that are balanced one by one; all others are balanced together, as one more.
+LABELS, NO_LABEL = 30, ""
 
 
 def _deviation(mass: np.ndarray, want: np.ndarray) -> float:
@@ -76,79 +72,88 @@ def _hashed(key: np.ndarray, share: np.ndarray) -> np.ndarray:
     return np.minimum(np.searchsorted(np.cumsum(share), u, side="right"), len(share) - 1)
 
 
-def _place(sizes: np.ndarray, key: np.ndarray, share: np.ndarray) -> np.ndarray:
-    tries = [anneal(sizes, share, _hashed(key + np.int64(7919 * c), share), c, STEPS * len(sizes) + 2000) for c in range(CHAINS)]
+def _chain(sizes: np.ndarray, key: np.ndarray, share: np.ndarray, chain: int) -> tuple[np.ndarray, float]:
+    """(the splits that one chain of annealing ends with, how far they are off)."""
+    at = anneal(sizes, share, _hashed(key + np.int64(7919 * chain), share), chain, STEPS * len(sizes) + 2000)
     want = np.outer(share, sizes.sum(axis=0))
+    mass = np.zeros_like(want)
+    np.add.at(mass, at, sizes)
+    return at, _deviation(mass, want)
 
-    def off(at: np.ndarray) -> float:
-        mass = np.zeros_like(want)
-        np.add.at(mass, at, sizes)
-        return _deviation(mass, want)
 
-    return min(tries, key=off)
+def _annealed(group: DataFrame, cols: list[str], share: np.ndarray, grain: np.ndarray | None = None) -> DataFrame:
+    """(g, at): the split of each group (g, h, block, cols), every block by its best chain. Chains are tasks of their own.
+
+    grain: sizes of each of GRAINS further groups that have no rows here."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["h", "g"])
+        sizes, key = p[cols].to_numpy(float), p["h"].to_numpy(np.int64)
+        if grain is not None:
+            sizes, key = np.vstack([sizes, np.tile(grain, (GRAINS, 1))]), np.concatenate([key, np.arange(GRAINS) * 2654435761])
+        at, off = _chain(sizes, key, share, int(p["chain"].iloc[0]))
+        return pd.DataFrame({"block": p["block"], "chain": p["chain"], "g": p["g"], "at": at[: len(p)].astype(np.int32), "off": off})
+
+    tried = group.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(CHAINS - 1)))).groupBy("block", "chain").applyInPandas(run, "block long, chain int, g string, at int, off double")
+    return cut(tried, "chains").groupBy("g").agg(F.min_by("at", F.struct("off", "chain")).alias("at"))
 
 
 def grouped_splits(rows: DataFrame, targets: DataFrame, row_id: str = "row_id", ties: tuple[str, ...] = ("commit_before", "commit_after"), label: str | None = None) -> DataFrame:
     """(row_id, group_row_id, split_name): every row id with the smallest of its group and the group's split.
 
     Rows are tied if they name the same commit in any of the columns `ties`, and ties are handed on; values that name no
-    commit (also null and empty ones) tie nothing, so a row without any is a group of its own. Groups are placed so that
-    the splits have the wanted shares of the rows, and nearly the same shares of the rows of each label (a column with few
-    values; up to 30 of them, the most frequent, are balanced).
+    commit (also null, empty and all zeros) tie nothing, so a row without any is a group of its own. Groups are placed so
+    that the splits have the wanted shares of the rows, and nearly the same shares of the rows of each label (the LABELS
+    most frequent values of a column, and all others together).
 
     Groups above a fixed share of all rows come first (their number is bounded), then the others in blocks by hash, each
     annealed on its own towards what the large ones left: hashed assignment, then moves and exchanges of whole groups in
-    several chains, the best kept. Repeated rows count once; the ties of all rows of one id hold. Shares need not add up
-    to 1; null or negative ones count as 0. Without usable targets split_name is null. A null row_id is dropped.
+    several chains, each a task of its own, the best kept. Repeated rows count once; the ties of all rows of one id hold.
+    Shares need not add up to 1; null or negative ones count as 0. Without usable targets split_name is null. A null row_id
+    is dropped. The table of targets, a row for each split, is read by the driver.
     """
     spark = rows.sparkSession
-    wanted = targets.select("split_name", F.greatest(F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("s")).where("split_name is not null").groupBy("split_name").agg(F.max("s").alias("s")).orderBy("split_name").limit(1000).collect()
+    wanted = targets.select("split_name", F.greatest(F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("s")).where("split_name is not null").groupBy("split_name").agg(F.max("s").alias("s")).orderBy("split_name").collect()
     names, share = [r[0] for r in wanted], np.array([r[1] for r in wanted], float)
     share = share / share.sum() if share.sum() > 0 else share
 
     lab = F.coalesce(F.col(label).cast("string"), F.lit(NO_LABEL)) if label else F.lit(NO_LABEL)
-    x = rows.select(F.col(row_id).alias("r"), lab.alias("label"), *[commit_key(F.col(t)).alias(f"k{i}") for i, t in enumerate(ties)]).where("r is not null")
-    keys = x.select("r", F.explode(F.array_compact(F.array(*[f"k{i}" for i in range(len(ties))]))).alias("k")).distinct()
-    ids = x.groupBy("r").agg(F.min("label").alias("label"), F.min(F.least(*[f"k{i}" for i in range(len(ties))]) if len(ties) > 1 else F.col("k0")).alias("k"))
-    ids = cut(ids, "ids")
-    edges = keys.join(ids.select("r", F.col("k").alias("m")), "r").select(F.col("k").alias("u"), F.col("m").alias("v")).where("u <> v")
+    keys = [f"k{i}" for i in range(len(ties))]
+    x = rows.select(F.col(row_id).alias("r"), lab.alias("label"), *[commit_key(F.col(t)).alias(k) for k, t in zip(keys, ties)]).where("r is not null")
+    x = x.withColumn("k", F.coalesce(*keys))
+    ids = cut(x.groupBy("r").agg(F.min("label").alias("label"), F.min("k").alias("k"), F.max("k").alias("z")), "ids")
+    # a row ties its own commits; rows of one id that begin with different ones are tied by the id
+    own = x.select("k", F.explode(F.array_compact(F.array(*keys))).alias("v"))
+    twice = ids.where("k < z").select("r", F.col("k").alias("v"))
+    apart = x.where("k is not null").select("r", "k").join(small(cut(twice, "twice")), "r").select("k", "v")
+    edges = own.unionByName(apart).where("k <> v").select(F.greatest("k", "v").alias("u"), F.least("k", "v").alias("v")).distinct()
     comp = small(components(edges))
     rooted = ids.join(comp.withColumnRenamed("node", "k"), "k", "left").select("r", "label", F.coalesce("root", "k").alias("root"))
-    rooted = cut(rooted, "rooted")
     # a group is known by its commit, or by its row if it has none
     known = F.coalesce(F.concat(F.lit("c"), "root"), F.concat(F.lit("r"), F.col("r").cast("string")))
-    rooted = rooted.withColumn("g", known)
-    kinds = [r[0] for r in rooted.groupBy("label").count().orderBy(F.desc("count"), "label").limit(30).collect()] if label else []
-    group = rooted.groupBy("g").agg(F.min("r").alias("group_row_id"), F.count("*").alias("n"), *[F.count_if(F.col("label") == v).alias(f"l{i}") for i, v in enumerate(kinds)])
-    group = cut(group, "groups")
-    cols = ["n", *[f"l{i}" for i in range(len(kinds))]]
+    rooted = cut(rooted.select("r", "label", known.alias("g")), "rooted")
+    kinds = [r[0] for r in rooted.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LABELS).collect()] if label else []
+    held = [F.col("label") == v for v in kinds] + ([~F.col("label").isin(kinds)] if kinds else [])
+    group = rooted.groupBy("g").agg(F.min("r").alias("group_row_id"), F.count("*").alias("n"), *[F.count_if(v).alias(f"l{i}") for i, v in enumerate(held)])
+    group = cut(group.withColumn("h", F.xxhash64("g")), "groups")
+    cols = ["n", *[f"l{i}" for i in range(len(held))]]
     if names and share.sum() > 0:
         total = group.agg(F.count("*"), *[F.sum(c) for c in cols]).first()
-        n_groups, all_ = total[0], np.array([float(v or 0) for v in total[1:]])
-        key = F.xxhash64("g")
-        big = group.where(F.col("n") > HEAVY * float(all_[0])).select("g", key.alias("h"), *cols).orderBy("g").toPandas()
-        sizes = big[cols].to_numpy(float)
-        # the light groups fill what is left, so the heavy ones need only stay below their shares: place them with the
-        # light rows as grains
-        grains = np.tile((all_ - sizes.sum(axis=0)) / 200, (200, 1)) if len(all_) else np.zeros((0, 1))
-        both = np.vstack([sizes, grains]) if len(sizes) else grains
-        at = _place(both, np.concatenate([big["h"].to_numpy(np.int64), np.arange(200) * 2654435761]), share)[: len(sizes)]
-        mass = np.zeros(len(share))
-        np.add.at(mass, at, sizes[:, 0])
-        left = np.maximum(share * all_[0] - mass, 0)
+        all_ = np.array([float(v or 0) for v in total[1:]])
+        heavy = F.col("n") > HEAVY * float(all_[0])
+        big = group.where(heavy)
+        mass = np.array([float(v or 0) for v in big.agg(*[F.sum(c) for c in cols]).first()])
+        # the light groups fill what is left, so the heavy ones need only stay below their shares
+        first = cut(_annealed(big.select("g", "h", F.lit(-1).cast("long").alias("block"), *cols), cols, share, (all_ - mass) / GRAINS), "heavy")
+        taken = np.zeros(len(share))
+        for r in first.join(big, "g").groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row for each split
+            taken[r["at"]] = r["n"]
+        left = np.maximum(share * all_[0] - taken, 0)
         left = left / left.sum() if left.sum() > 0 else share
-        heavy = spark.createDataFrame([(g, names[a]) for g, a in zip(big["g"], at)], "g string, split_name string")
-
-        def light(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for p in batches:
-                if len(p):
-                    at = _place(p[cols].to_numpy(float), p["h"].to_numpy(np.int64), left)
-                    yield pd.DataFrame({"g": p["g"], "split_name": [names[a] for a in at]})
-
-        rest = group.where(F.col("n") <= HEAVY * float(all_[0])).select("g", key.alias("h"), *cols)
-        rest = rest.repartition(max(1, min(partitions(spark) * 64, -(-int(n_groups) // BLOCK))), "h").sortWithinPartitions("h", "g").mapInPandas(light, "g string, split_name string")
-        placed = group.join(heavy.unionByName(rest), "g")
+        block = F.expr(f"pmod(h, {max(1, -(-int(total[0]) // BLOCK))})")
+        rest = _annealed(group.where(~heavy).select("g", "h", block.alias("block"), *cols), cols, left)
+        name = F.element_at(F.array(*[F.lit(v) for v in names]), F.col("at") + 1)
+        placed = group.join(first.unionByName(rest), "g").select("g", "group_row_id", name.alias("split_name"))
     else:
-        placed = group.withColumn("split_name", F.lit(None).cast("string"))
-    placed = small(cut(placed.select("g", "group_row_id", "split_name"), "placed"))
-    return rooted.join(placed, "g").select(F.col("r").alias(row_id), "group_row_id", "split_name")
+        placed = group.select("g", "group_row_id", F.lit(None).cast("string").alias("split_name"))
+    return rooted.join(small(cut(placed, "placed")), "g").select(F.col("r").alias(row_id), "group_row_id", "split_name")

@@ -38,7 +38,7 @@ def test_groups_and_shares(spark):
         find(i)
         for v in (a, b):
             k = (v or "").strip().lower()[:8]
-            if len(k) == 8 and all(c in "0123456789abcdef" for c in k):
+            if len(k) == 8 and set((v or "").strip()) != {"0"} and all(c in "0123456789abcdef" for c in k):
                 root[find(i)] = find(k)
     ids = [r[0] for r in rows if r[0] is not None]
     least = {}
@@ -64,3 +64,23 @@ def test_annealing_beats_its_start():
     start = rng.integers(0, 3, 200)
     off = lambda at: abs(np.bincount(at, sizes[:, 0], minlength=3) / sizes.sum() - share).sum()
     assert off(anneal(sizes, share, start, 0, 8000)) < 0.01 < off(start)
+
+
+def test_null_ids_and_repeated_ids(spark):
+    z, a, b, c, d = "0" * 40, "a" * 40, "b" * 40, "c" * 40, "d" * 40
+    rows = [
+        (1, a, z, None), (2, z, b, None), (3, "00000000", z, None), (4, " 0000000000\n", "A" * 8, None),
+        (5, c, None, None), (5, d, None, None), (6, d[:9], None, None), (7, None, c, None),  # the id 5 ties c and d
+        (8, "0" * 39 + "1", None, None), (9, None, "00000000", None), (10, "0" * 41, "0" * 7, None),
+    ]
+    # by hand: 1 and 4 share a, 5 to 7 share c and d; zeros alone tie nothing
+    assert {i: g for i, (g, _) in run(spark, rows).items()} == {1: 1, 4: 1, 2: 2, 3: 3, 5: 5, 6: 5, 7: 5, 8: 8, 9: 9, 10: 10}
+
+
+def test_many_splits_and_labels(spark):
+    rows = [(i, f"{i + 1:08x}" + "7" * 32, None, f"kind {i % 50}") for i in range(2000)]
+    got = run(spark, rows, tuple((f"s{i:04}", 1.0) for i in range(1200)))
+    assert len({s for _, s in got.values()}) > 700  # 1,000 and more splits are used
+    got = run(spark, rows, label="kind")
+    rare = [i for i in range(2000) if i % 50 >= 30]  # equal counts are ordered by name, so these hold most of the rest
+    assert abs(sum(got[i][1] == "train" for i in rare) / len(rare) - 0.8) < 0.05
