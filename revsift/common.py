@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The most rows, and bytes by Spark's estimate, of a side that is broadcast.
@@ -71,3 +71,23 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def running(df: DataFrame, order: list, made: dict[str, tuple[str, str]], before: bool = False) -> DataFrame:
+    """df with running aggregates over all its rows in an order: made maps a new column to (sum or max, column). With
+    `before`, a row itself is left out, and the first has null.
+
+    No row is moved but by one range sort: each partition aggregates its own rows, and the partitions' totals, a row for each,
+    are added up. So no task holds more than its range.
+    """
+    n = partitions(df.sparkSession)
+    x = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    x = cut(x, "sorted")
+    fold = {"sum": F.sum, "max": F.max}
+    total = x.groupBy("_part").agg(*[fold[f](c).alias(f"_t{k}") for k, (f, c) in made.items()])
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over the partitions
+    total = total.select("_part", *[fold[f](f"_t{k}").over(w).alias(f"_b{k}") for k, (f, _) in made.items()])
+    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
+    x = x.join(F.broadcast(total), "_part")  # a row for each partition
+    join = {"sum": lambda a, b: F.when(a.isNull() & b.isNull(), None).otherwise(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))), "max": F.greatest}
+    return x.withColumns({k: join[f](fold[f](c).over(w), F.col(f"_b{k}")) for k, (f, c) in made.items()}).drop("_part", *[f"_b{k}" for k in made])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ast
-import re
+import symtable
 import textwrap
 
 import pandas as pd
@@ -15,11 +15,20 @@ _NESTS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.Async
 _FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
+def spellings(source: str):
+    """A file, or one definition however it is indented, as a module."""
+    source = source.replace("\r\n", "\n")
+    yield source
+    bare = textwrap.dedent(source)
+    yield bare
+    yield "if 1:\n" + textwrap.indent(bare, " ")
+
+
 def parsed(source: str) -> ast.Module | None:
     """The tree of a file, or of one definition however it is indented."""
-    for s in (source, textwrap.dedent(source), "if 1:\n" + textwrap.indent(textwrap.dedent(source), " ")):
+    for s in spellings(source):
         try:
-            return ast.parse(s.replace("\r\n", "\n"))
+            return ast.parse(s)
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             pass
     return None
@@ -46,22 +55,54 @@ def metrics(node: ast.AST) -> tuple[float, float, float, float, float]:
     return float(complexity), float(count), float(deepest), float(params), float(returns)
 
 
+def _bound_names(source: str) -> set[str]:
+    """Names that a source binds by assignment or as parameters; not definitions, imports, self and cls."""
+    found, todo = set(), [symtable.symtable(source, "source", "exec")]
+    while todo:
+        table = todo.pop()
+        todo += table.get_children()
+        found |= {x.get_name() for x in table.get_symbols() if (x.is_parameter() or x.is_assigned()) and not x.is_namespace() and not x.is_imported()}
+    return found - {"self", "cls"}
+
+
+def _written(node, bound: set[str], number: dict[str, int]) -> str:
+    """A tree as text: bound names by the number of their first place, except in annotations; contexts left out."""
+    if isinstance(node, list):
+        return "[" + " ".join(_written(x, bound, number) for x in node) + "]"
+    if not isinstance(node, ast.AST):
+        return repr(node)
+    name = node.id if isinstance(node, ast.Name) else node.arg if isinstance(node, ast.arg) else None
+    parts = [type(node).__name__]
+    for field, value in ast.iter_fields(node):
+        if field in ("ctx", "type_comment", "kind"):
+            continue
+        if name in bound and value == name:
+            parts.append(f"#{number.setdefault(name, len(number))}")
+        else:
+            parts.append(_written(value, set() if field in ("annotation", "returns") else bound, number))
+    return "(" + " ".join(parts) + ")"
+
+
+def _bare(text: str) -> str:
+    """A text that is no Python, without comments of the usual kinds and with single blanks."""
+    for start, end in (("/*", "*/"), ("//", "\n"), ("#", "\n")):
+        head, *rest = text.split(start)
+        kept = [head]
+        for x in rest:
+            _, found, tail = x.partition(end)
+            kept.append((end if end == "\n" else " ") + tail if found else "" if end == "\n" else start + x)
+        text = "".join(kept)
+    return " ".join(text.split())
+
+
 def normalised(source: str) -> str:
-    """The dump of the tree with stored names and parameters numbered in order, or the text without comments and layout."""
-    tree = parsed(source)
-    if tree is None:
-        return " ".join(re.sub(r"(?s)/\*.*?\*/|//[^\n]*|#[^\n]*", " ", source).split())
-    seen: dict[str, str] = {}
-    for x in ast.walk(tree):
-        name = x.id if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Store) else x.arg if isinstance(x, ast.arg) else None
-        if name is not None and name not in ("self", "cls"):
-            seen.setdefault(name, f"_v{len(seen)}")
-    for x in ast.walk(tree):
-        if isinstance(x, ast.Name):
-            x.id = seen.get(x.id, x.id)
-        elif isinstance(x, ast.arg):
-            x.arg = seen.get(x.arg, x.arg)
-    return ast.dump(tree)
+    """What a source says apart from layout, comments and the choice of local names; docstrings count."""
+    for s in spellings(source):
+        try:
+            return _written(ast.parse(s), _bound_names(s), {})
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            pass
+    return _bare(source)
 
 
 def _definitions(tree: ast.Module):
@@ -161,18 +202,47 @@ def imports(files: DataFrame) -> DataFrame:
     return files.select("commit_hash", "file_path", F.explode(found("content")).alias("i")).select("commit_hash", "file_path", "i.*")
 
 
-def call_edges(entities: DataFrame) -> DataFrame:
-    """(commit_hash, src, dst): calls resolved within a snapshot: a method of the same class, else the same file, else the
-    only function or method of that name. Calls of oneself are dropped."""
-    f = entities.where("entity_type in ('function', 'method') and source_code is not null")
+def resolved_imports(imports_: DataFrame, entities: DataFrame) -> DataFrame:
+    """(commit_hash, file_path, alias, entity_id): imports of entities of the same snapshot. The longest module that is a file
+    there counts, at its path or below src; a name or a class and its method may follow it."""
+    x = imports_.select("commit_hash", "file_path", "alias", F.split(F.regexp_replace("target", "^import:", ""), r"\.").alias("p"))
+    x = x.withColumn("i", F.explode(F.sequence(F.size("p"), F.lit(1), F.lit(-1)))).withColumn("root", F.explode(F.array(F.lit(""), F.lit("src/"))))
+    file = F.concat("root", F.array_join(F.slice("p", F.lit(1), F.col("i")), "/"), F.lit(".py"))
+    rest = F.slice("p", F.col("i") + 1, F.size("p") - F.col("i"))
+    x = x.select("commit_hash", "file_path", "alias", (-F.col("i")).alias("i"), "root", file.alias("module"), F.size(rest).alias("n"), F.concat_ws("::", file, rest).alias("entity_id")).where("n <= 2")
+    known = entities.select("commit_hash", "entity_id").distinct()
+    files = entities.select("commit_hash", F.col("file_path").alias("module")).distinct()
+    whole = x.where("n = 0").join(files, ["commit_hash", "module"]).withColumn("entity_id", F.lit(None).cast("string"))  # a module is no entity
+    found = whole.select("commit_hash", "file_path", "alias", "i", "root", "entity_id").unionByName(x.where("n > 0").join(known, ["commit_hash", "entity_id"]).select("commit_hash", "file_path", "alias", "i", "root", "entity_id"))
+    return found.groupBy("commit_hash", "file_path", "alias").agg(F.min_by("entity_id", F.struct("i", "root")).alias("entity_id")).where("entity_id is not null")
+
+
+def call_edges(entities: DataFrame, imports_: DataFrame | None = None) -> DataFrame:
+    """(commit_hash, src, dst): calls resolved within a snapshot, in this order: a method of the same class, the same file, an
+    import of the file (where imports are given), the only function or method of that name, the only one in the directory.
+
+    Each step is a join on a unique key, so a name that is called or defined everywhere multiplies no rows. A null type is
+    judged by the source. Calls of oneself are dropped.
+    """
     part = lambda c: F.regexp_extract(c, r"(?s)^(.*)::[^:]*\z", 1)
-    calls = f.select("commit_hash", F.col("entity_id").alias("src"), part("entity_id").alias("owner"), "file_path", F.explode(called_names("source_code")).alias("called"))
-    known = f.select("commit_hash", F.col("entity_id").alias("dst"), part("entity_id").alias("to_owner"), F.col("file_path").alias("to_file"), F.regexp_extract("entity_id", r"([^:]*)\z", 1).alias("called"))
-    alone = known.groupBy("commit_hash", "called").agg(F.count("*").alias("n"))
-    known = known.join(alone, ["commit_hash", "called"])
-    rank = F.when(F.col("owner") == F.col("to_owner"), 0).when(F.col("file_path") == F.col("to_file"), 1).when(F.col("n") == 1, 2)
-    x = calls.join(known, ["commit_hash", "called"]).withColumn("rank", rank).where("rank is not null")
-    return x.groupBy("commit_hash", "src", "called").agg(F.min(F.struct("rank", "dst"))["dst"].alias("dst")).where("src <> dst").select("commit_hash", "src", "dst").distinct()
+    folder = F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1)
+    function = F.coalesce(F.col("entity_type").isin("function", "method"), F.col("source_code").rlike(r"\A(?:\s|@[^\n]*\n)*(?:async\s+)?def\b"))
+    f = entities.where(function & F.col("source_code").isNotNull())
+    calls = f.select("commit_hash", F.col("entity_id").alias("src"), part("entity_id").alias("owner"), "file_path", folder.alias("folder"), F.explode(called_names("source_code")).alias("called"))
+    calls = calls.withColumns({"at_class": F.when(F.col("owner") != F.col("file_path"), F.concat_ws("::", "owner", "called")), "at_file": F.concat_ws("::", "file_path", "called")})
+    ids = entities.select("commit_hash", F.col("entity_id").alias("id")).distinct()
+    named = f.select("commit_hash", folder.alias("folder"), F.regexp_extract("entity_id", r"([^:]*)\z", 1).alias("called"), "entity_id").distinct()
+    only = lambda by, name: named.groupBy("commit_hash", *by).agg(F.count("*").alias("n"), F.min("entity_id").alias(name)).where("n = 1").drop("n")
+    x = calls.join(ids.select("commit_hash", F.col("id").alias("at_class"), F.col("id").alias("by_class")), ["commit_hash", "at_class"], "left")
+    x = x.join(ids.select("commit_hash", F.col("id").alias("at_file"), F.col("id").alias("by_file")), ["commit_hash", "at_file"], "left")
+    if imports_ is not None:
+        r = resolved_imports(imports_, entities).select("commit_hash", "file_path", F.col("alias").alias("called"), F.col("entity_id").alias("by_import"))
+        x = x.join(r, ["commit_hash", "file_path", "called"], "left")
+    else:
+        x = x.withColumn("by_import", F.lit(None).cast("string"))
+    x = x.join(only(["called"], "by_name"), ["commit_hash", "called"], "left").join(only(["folder", "called"], "by_folder"), ["commit_hash", "folder", "called"], "left")
+    x = x.select("commit_hash", "src", F.coalesce("by_class", "by_file", "by_import", "by_name", "by_folder").alias("dst"))
+    return x.where("dst is not null and src <> dst").distinct()
 
 
 def signature(source: Column) -> Column:

@@ -26,9 +26,9 @@ def commit_key(value: Column) -> Column:
 
 
 def split_identifier(name: Column) -> Column:
-    """camelCase and snake_case as an array of words in lower case."""
-    x = F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    return F.array_remove(F.split(F.lower(F.regexp_replace(x, "[^A-Za-z0-9]+", " ")), " +"), "")
+    """camelCase and snake_case as an array of words in lower case; other characters stay where they are."""
+    x = F.regexp_replace(F.regexp_replace(name, "(.)([A-Z][a-z]+)", "$1 $2"), "([a-z0-9])([A-Z])", "$1 $2")
+    return F.array_remove(F.split(F.translate(F.lower(x), "_", " "), r"\s+"), "")
 
 
 def bound(value: Column, body) -> Column:
@@ -47,30 +47,59 @@ def ngrams(text: Column, n: int = 4) -> Column:
     return bound(F.coalesce(words, F.array().cast("array<string>")), runs)
 
 
-def shared_ngrams(left: DataFrame, left_id: str, left_text: str, right: DataFrame, right_id: str, right_text: str, n: int = 4) -> DataFrame:
-    """(left_id, right_id, shared, first): pairs of texts with word n-grams in common, how many, and the first in order."""
-    a = left.select(left_id, F.explode(ngrams(F.col(left_text), n)).alias("g")).distinct()
-    b = right.select(right_id, F.explode(ngrams(F.col(right_text), n)).alias("g")).distinct()
-    return a.join(b, "g").groupBy(left_id, right_id).agg(F.count("*").alias("shared"), F.min("g").alias("first"))
+def shared_ngrams(text: Column, source: Column, n: int = 4) -> Column:
+    """Word n-grams that two texts have in common, sorted; empty where one is null."""
+    return F.array_sort(F.array_intersect(ngrams(text, n), ngrams(source, n)))
 
 
-def forbidden_terms(entity_id: Column) -> Column:
-    """Terms that give an entity away: its name, the name's words of 4 letters or more, its file and the file's stem."""
-    name = F.lower(F.regexp_extract(entity_id, r"([^:]*)$", 1))
-    file = F.lower(F.regexp_extract(entity_id, r"([^/:]*)(?:::|$)", 1))
-    stem = F.regexp_replace(file, r"\.[^.]*$", "")
-    words = F.filter(split_identifier(F.regexp_extract(entity_id, r"([^:]*)$", 1)), lambda w: F.length(w) >= 4)
-    stems = F.when((F.length(stem) >= 4) & (stem != "__init__"), F.array(stem)).otherwise(F.array().cast("array<string>"))
-    return F.array_sort(F.array_distinct(F.filter(F.concat(F.array(name, file), words, stems), lambda t: F.regexp_replace(t, "_", "") != "")))
+def forbidden_terms(entity_id: Column, file_path: Column) -> Column:
+    """Terms that give an entity away: each name of its path (file aside), its own name's words of 4 letters or more, its
+    file and the file's stem; in lower case, without terms of underscores only."""
+    parts = F.split(entity_id, "::")
+    names = F.when(F.size(parts) > 1, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1)))).otherwise(parts)
+    file = F.regexp_extract(F.coalesce(file_path, F.lit("")), r"([^/]*)/*$", 1)
+    stem = F.when(file.rlike(r"^.+\.[^.]*$"), F.regexp_replace(file, r"\.[^.]*$", "")).otherwise(file)
+    words = F.filter(split_identifier(F.element_at(parts, -1)), lambda w: F.length(w) >= 4)
+    none = F.array().cast("array<string>")
+    files = F.when(file != "", F.concat(F.array(file), F.when((F.length(stem) >= 4) & (stem != "__init__"), F.array(stem)).otherwise(none))).otherwise(none)
+    return F.array_sort(F.array_distinct(F.transform(F.filter(F.concat(names, words, files), lambda t: F.translate(t, "_", "") != ""), F.lower)))
 
 
-def leaked_terms(text: Column, terms: Column) -> Column:
-    """Terms that occur in a text as whole words of a-z, 0-9 and _, sorted."""
-    low = F.lower(text)
+def leaked_terms(text: Column, entity_id: Column, file_path: Column) -> Column:
+    """Forbidden terms that occur in a text as whole words of a-z, 0-9 and _, and the whole path wherever it occurs; sorted."""
+    low, path = F.lower(text), F.lower(file_path)
     # a term's neighbours decide, so every place is tried by cutting the text at the term
     def within(t: Column) -> Column:
         parts = F.split(low, F.concat(F.lit(r"\Q"), t, F.lit(r"\E")), -1)
         ends = F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 2, F.lit(0))), lambda i: ~F.get(parts, i).rlike("[a-z0-9_]$") & ~F.coalesce(F.get(parts, i + 1), F.lit("a")).rlike("^[a-z0-9_]"))
         return (F.size(parts) > 1) & F.exists(ends, lambda e: e)
 
-    return F.filter(terms, within)
+    whole = F.when((F.length(path) > 0) & F.contains(low, path), F.array(path)).otherwise(F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(F.concat(F.filter(forbidden_terms(entity_id, file_path), within), whole)))
+
+
+def violations(text: Column, entity_id: Column, file_path: Column, source: Column) -> Column:
+    """What is wrong with a query for an entity: identifier:<leaked terms> and verbatim:<first 4-gram copied from its source>."""
+    leaked, copied = leaked_terms(text, entity_id, file_path), shared_ngrams(text, source)
+    return F.array_compact(F.array(F.when(F.size(leaked) > 0, F.concat(F.lit("identifier:"), F.array_join(leaked, ","))), F.when(F.size(copied) > 0, F.concat(F.lit("verbatim:"), copied[0]))))
+
+
+def docstring_summary(source: Column) -> Column:
+    """The first line of the first string in three double (else single) quotes, if it has more than 5 characters."""
+
+    def of(q: str) -> Column:
+        line = F.split(F.trim(F.regexp_extract(source, f"(?s){q}\\s*(.*?){q}", 1)), "\n")[0]
+        return F.when(source.rlike(f"(?s){q}.*?{q}"), F.trim(F.regexp_replace(line, r"^\s+|\s+$", "")))
+
+    found = F.coalesce(of('"{3}'), of("'{3}"))
+    return F.when(F.length(found) > 5, found)
+
+
+def run_id(version: Column, seed: Column, before: Column, after: Column) -> Column:
+    return F.format_string("benchmark_v%s_seed%s_%s_%s", version.cast("string"), seed.cast("string"), F.substring(before, 1, 8), F.substring(after, 1, 8))
+
+
+def cleaned(source: Column) -> Column:
+    """A source without strings in three quotes and without comments; a # in a string of one line stays."""
+    bare = F.regexp_replace(source, r"""(?s)\"{3}.*?\"{3}|'{3}.*?'{3}""", "")
+    return F.regexp_replace(bare, r"""(?m)("[^"\n]*"|'[^'\n]*')|#[^\n]*""", "$1")

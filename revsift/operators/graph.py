@@ -5,8 +5,6 @@ Every loop writes its state to the shared folder each round and looks only at a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,36 +61,43 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(out, "node", "left").join(into, "node", "left").fillna(0, ["out_degree", "in_degree"])
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, alpha: float = 0.85, rounds: int | None = None) -> DataFrame:
-    """(node, rank) from uniform ranks; the teleport is uniform, or over seeds.node.
+def ranks_by_part(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, alpha: float = 0.85, rounds: int | None = None) -> DataFrame:
+    """(part, node, rank) in each of many graphs at once, of nodes (part, node), edges (part, src, dst), seeds (part, node).
 
-    Rounds go on until all ranks together change by less than TOLERANCE a node, at most MOST_ROUNDS; or a given number of them.
-    The mass of nodes without out-edges goes where the teleport goes. Without a seed among the nodes all ranks are 0.
+    Ranks start uniform; the teleport is uniform, or over the seeds. Rounds go on until in every part all ranks together
+    change by less than TOLERANCE a node, at most MOST_ROUNDS; or a given number of them. The mass of nodes without
+    out-edges goes where the teleport goes. In a part without a seed among its nodes all ranks are 0.
     """
-    nodes = cut(nodes.select("node").distinct(), "nodes")
-    n = nodes.count()
+    key = ["part", "node"]
+    nodes = cut(nodes.select(*key).distinct(), "nodes")
+    base = nodes.join(nodes.groupBy("part").agg(F.count("*").alias("n")), "part")
     if seeds is None:
-        base = nodes.withColumn("p", F.lit(1.0 / max(n, 1)))
+        base = base.withColumn("p", 1.0 / F.col("n"))
     else:
-        s = seeds.select("node").distinct().join(nodes, "node", "left_semi").withColumn("hit", F.lit(1.0))
-        m = s.count()
-        if not m:
-            return nodes.withColumn("rank", F.lit(0.0))
-        base = nodes.join(s, "node", "left").select("node", (F.coalesce("hit", F.lit(0.0)) / m).alias("p"))
-    out = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    links = cut(edges.join(out, "src"), "links")
-    base = cut(base.join(out.withColumnRenamed("src", "node"), "node", "left"), "base")
-    rank = base.select("node", "p", "deg", F.lit(1.0 / max(n, 1)).alias("rank"))
+        s = seeds.select(*key).distinct().join(nodes, key, "left_semi")
+        s = cut(s, "seeds")
+        base = base.join(s.groupBy("part").agg(F.count("*").alias("m")), "part", "left").join(s.withColumn("hit", F.lit(1.0)), key, "left")
+        base = base.select(*key, "n", (F.coalesce("hit", F.lit(0.0)) / F.coalesce("m", F.lit(1))).alias("p"), F.col("m").isNotNull().alias("seeded"))
+    out = edges.groupBy("part", F.col("src").alias("node")).agg(F.count("*").alias("deg"))
+    links = cut(edges.select("part", F.col("src").alias("node"), "dst").join(out, ["part", "node"]), "links")
+    start = 1.0 / F.col("n") if seeds is None else F.when(F.col("seeded"), 1.0 / F.col("n")).otherwise(0.0)
+    rank = cut(base.join(out, key, "left").select(*key, "n", "p", "deg", start.alias("rank")), "base")
     for _ in range(MOST_ROUNDS if rounds is None else rounds):
-        lost = rank.where("deg is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        got = rank.join(links, rank["node"] == links["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / links["deg"]).alias("got"))
-        new = rank.join(got, "node", "left").crossJoin(F.broadcast(lost))  # lost is one row
-        new = new.select("node", "p", "deg", (alpha * F.coalesce("got", F.lit(0.0)) + alpha * F.col("lost") * F.col("p") + (1 - alpha) * F.col("p")).alias("rank"), F.col("rank").alias("was"))
-        new = cut(new, "rank")
+        lost = rank.where("deg is null").groupBy("part").agg(F.sum("rank").alias("lost"))
+        got = rank.select(*key, "rank").join(links, key).groupBy("part", F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
+        new = rank.join(got, key, "left").join(lost, "part", "left")
+        sent = alpha * (F.coalesce("got", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) * F.col("p")) + (1 - alpha) * F.col("p")
+        new = cut(new.select(*key, "n", "p", "deg", sent.alias("rank"), F.col("rank").alias("was")), "rank")
         rank = new.drop("was")
-        if rounds is None and (new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0) < n * TOLERANCE:
+        if rounds is None and (new.groupBy("part").agg((F.sum(F.abs(F.col("rank") - F.col("was"))) / F.max("n")).alias("change")).agg(F.max("change")).first()[0] or 0.0) < TOLERANCE:
             break
-    return rank.select("node", "rank")
+    return rank.select(*key, "rank")
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, alpha: float = 0.85, rounds: int | None = None) -> DataFrame:
+    """(node, rank): ranks_by_part of one graph."""
+    one = lambda d: None if d is None else d.withColumn("part", F.lit(0))
+    return ranks_by_part(one(nodes), one(edges), one(seeds), alpha, rounds).select("node", "rank")
 
 
 def decayed_strength(edges: DataFrame, starts: DataFrame, threshold: float = 0.05, hops: int = 6) -> DataFrame:
@@ -167,23 +172,33 @@ def topology(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+#: Sources whose shortest paths one task follows.
+SOURCES = 500
+
+
 def path_centralities(edges: DataFrame, part: str) -> DataFrame:
     """(part, node, closeness, betweenness) of each part's own graph, from edges (part, src, dst).
 
-    Shortest paths are followed from every node of a part, within one task for a part; parts (a snapshot's graph) are small
-    against a task's memory, and there are many of them. Closeness takes incoming distances, scaled by the share of nodes
-    that reach the node; betweenness is Brandes' and normalised for a directed graph.
+    Exact, so every node of a part is a source of shortest paths: SOURCES of them in a task, with the part's edges, and the
+    tasks' shares of each node are summed up. A task holds one part's edges (a snapshot's graph), the one thing here that
+    has to fit its memory. Closeness takes incoming distances, scaled by the share of nodes that reach the node;
+    betweenness is Brandes' and normalised for a directed graph.
     """
+    kinds = dict(edges.dtypes)
+    e = cut(edges.select(part, "src", "dst"), "part-edges")
+    nodes = e.select(part, F.col("src").alias("node")).unionByName(e.select(part, F.col("dst").alias("node"))).distinct()
+    n = cut(nodes.groupBy(part).agg(F.count("*").alias("_n")), "part-sizes")
+    blocks = n.select(part, "_n", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / SOURCES).cast("int"))).alias("_block"))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        names = pd.unique(pd.concat([p["src"], p["dst"]]))
+        names = sorted(set(p["src"]) | set(p["dst"]))
         at = {x: i for i, x in enumerate(names)}
-        n = len(names)
-        out: list[list[int]] = [[] for _ in range(n)]
+        block = int(p["_block"].iloc[0])
+        out: list[list[int]] = [[] for _ in names]
         for a, b in zip(p["src"], p["dst"]):
             out[at[a]].append(at[b])
-        far, seen, between = [0] * n, [1] * n, [0.0] * n
-        for s in range(n):
+        far, seen, between = [0] * len(names), [0] * len(names), [0.0] * len(names)
+        for s in range(block * SOURCES, min((block + 1) * SOURCES, len(names))):
             dist, ways, before, order = {s: 0}, {s: 1.0}, {s: []}, [s]
             for v in order:
                 for w in out[v]:
@@ -201,9 +216,23 @@ def path_centralities(edges: DataFrame, part: str) -> DataFrame:
                     between[w] += share[w]
                     far[w] += dist[w]
                     seen[w] += 1
-        scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-        close = [(r - 1) / f * (r - 1) / (n - 1) if f else 0.0 for r, f in zip(seen, far)]
-        return pd.DataFrame({part: p[part].iloc[0], "node": names, "closeness": close, "betweenness": [b * scale for b in between]})
+        return pd.DataFrame({part: p[part].iloc[0], "node": names, "far": far, "seen": seen, "between": between})
 
-    kinds = dict(edges.dtypes)
-    return edges.groupBy(part).applyInPandas(run, f"{part} {kinds[part]}, node {kinds['src']}, closeness double, betweenness double")
+    each = e.join(blocks, part).groupBy(part, "_block").applyInPandas(run, f"{part} {kinds[part]}, node {kinds['src']}, far long, seen long, between double")
+    x = each.groupBy(part, "node").agg(F.sum("far").alias("far"), F.sum("seen").alias("seen"), F.sum("between").alias("between")).join(n, part)
+    close = F.when(F.col("far") > 0, F.col("seen") / F.col("far") * F.col("seen") / (F.col("_n") - 1)).otherwise(0.0)
+    return x.select(part, "node", close.alias("closeness"), (F.col("between") * F.when(F.col("_n") > 2, 1 / ((F.col("_n") - 1.0) * (F.col("_n") - 2.0))).otherwise(1.0)).alias("betweenness"))
+
+
+def reached_seeds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, n): how many seeds other than itself each node reaches along the edges, itself left out.
+
+    Pairs of a node and a seed are followed back from the seeds, so the work is that of the closure's rows that are asked for.
+    """
+    back = cut(edges.select(F.col("dst").alias("node"), F.col("src").alias("up")), "back")
+    front = known = cut(seeds.select("node", F.col("node").alias("seed")).distinct(), "reached")
+    while not front.isEmpty():
+        front = front.join(back, "node").select(F.col("up").alias("node"), "seed").distinct().join(known, ["node", "seed"], "left_anti")
+        front = cut(front, "front")
+        known = cut(known.unionByName(front), "reached")
+    return known.where("node <> seed").groupBy("node").agg(F.count("*").alias("n"))

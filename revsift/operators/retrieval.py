@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revsift.common import running
+
 
 def usable(v: Column) -> Column:
     """Whether a vector has no null or NaN and is not all zeros."""
@@ -63,6 +68,20 @@ def ndcg(rank: Column, k: int) -> Column:
     return F.when(rank <= k, 1 / F.log2(rank + 1)).otherwise(0.0)
 
 
+def recall_at(rank: Column, k: int) -> Column:
+    return (rank <= k).cast("double")
+
+
+def reciprocal(rank: Column, n: Column) -> Column:
+    """1 / rank, 0 for a rank beyond the n that were ranked."""
+    return F.when(rank <= n, 1 / rank).otherwise(0.0)
+
+
+def deltas(baseline_rank: Column, selective_rank: Column, baseline_score: Column, selective_score: Column) -> tuple[Column, Column]:
+    """(rank_delta, score_delta): selective less baseline."""
+    return (selective_rank - baseline_rank).alias("rank_delta"), (selective_score - baseline_score).alias("score_delta")
+
+
 def ir_metrics(ranks: DataFrame, by: list[str]) -> DataFrame:
     hit = lambda k: F.avg((F.col("target_rank") <= k).cast("double")).alias(f"recall_{k}")
     return ranks.groupBy(*by).agg(F.count("*").alias("queries"), hit(1), hit(5), hit(10), F.avg(1 / F.col("target_rank")).alias("mrr"), F.avg(ndcg(F.col("target_rank"), 10)).alias("ndcg_10"))
@@ -96,28 +115,53 @@ def paired_ranks(ranks: DataFrame, baseline: str = "full_reindex") -> DataFrame:
     return ranks.where(F.col("strategy_name") != baseline).join(b, "query_id").select("strategy_name", "query_id", "baseline_rank", F.col("target_rank").alias("selective_rank"))
 
 
+def upper_tail(k: int, m: int) -> float:
+    """P(X >= k) for m fair coins: the regularised incomplete beta function at 1/2, by its continued fraction, so that neither
+    many coins nor a tail near 0 or 1 is out of reach."""
+    if k <= 0:
+        return 1.0
+    if k > m:
+        return 0.0
+    if 2 * k <= m:  # the fraction converges fast on the other side of the middle
+        return 1.0 - upper_tail(m - k + 1, m)
+    a, b = float(k), float(m - k + 1)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) - (a + b) * math.log(2.0)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / max(1.0 - (a + b) * 0.5 / (a + 1), tiny)
+    value = d
+    for i in range(1, 100_000):
+        for step in (i * (b - i) * 0.5 / ((a + 2 * i - 1) * (a + 2 * i)), -(a + i) * (a + b + i) * 0.5 / ((a + 2 * i) * (a + 2 * i + 1))):
+            d = 1.0 / (1.0 + step * d or tiny)
+            c = 1.0 + step / c or tiny
+            value *= c * d
+        if abs(c * d - 1.0) < 1e-15:
+            break
+    return min(1.0, max(0.0, front * value))
+
+
+def sign_p(positive: str | Column, nonzero: str | Column) -> Column:
+    """One-sided exact sign test of counts: 1 without a positive."""
+
+    def of(k: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([upper_tail(int(a), int(b)) for a, b in zip(k, m)], dtype=float)
+
+    return F.pandas_udf(of, "double")(positive, nonzero)
+
+
 def sign_test(pairs: DataFrame, by: list[str]) -> DataFrame:
     """(by, positive, nonzero, p): one-sided exact binomial test that ranks got worse; ties dropped, 1 without a positive."""
     d = F.col("selective_rank") - F.col("baseline_rank")
     x = pairs.groupBy(*by).agg(F.count_if(d > 0).alias("positive"), F.count_if(d != 0).alias("nonzero"))
-    # log of C(m, k) / 2^m, then each next term from the one before it
-    first = F.aggregate(F.sequence(F.lit(1), F.greatest("positive", F.lit(1))), F.lit(0.0), lambda s, i: s + F.log((F.col("nonzero") - i + 1) / i)) - F.col("nonzero") * F.log(F.lit(2.0))
-    tail = F.aggregate(
-        F.sequence(F.col("positive"), F.col("nonzero")),
-        F.struct(F.lit(0.0).alias("sum"), F.exp(first).alias("term")),
-        lambda s, i: F.struct((s["sum"] + s["term"]).alias("sum"), (s["term"] * (F.col("nonzero") - i) / (i + 1)).alias("term")),
-        lambda s: s["sum"],
-    )
-    return x.select(*by, "positive", "nonzero", F.when(F.col("positive") == 0, 1.0).otherwise(F.least(F.lit(1.0), tail)).alias("p"))
+    return x.select(*by, "positive", "nonzero", sign_p("positive", "nonzero").alias("p"))
 
 
 def pareto(points: DataFrame, cost: str, quality: str) -> DataFrame:
     """points with on_frontier: no other point is as good in both and better in one. Equal points are both kept.
 
-    The best quality of each cost, and a running maximum over the distinct costs.
+    The best quality of each cost, and its running maximum over range partitions of the distinct costs.
     """
     best = points.groupBy(F.col(cost).alias("_cost")).agg(F.max(quality).alias("_best"))
-    best = best.withColumn("_before", F.max("_best").over(Window.orderBy("_cost").rowsBetween(Window.unboundedPreceding, -1)))
+    best = running(best, [F.col("_cost")], {"_before": ("max", "_best")}, before=True)
     x = points.join(best, points[cost] == best["_cost"])
     return x.withColumn("on_frontier", (F.col("_best") <= F.col(quality)) & (F.col("_before").isNull() | (F.col("_before") < F.col(quality)))).drop("_cost", "_best", "_before")
 
@@ -145,23 +189,21 @@ def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return r.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.when(~F.isnan(c), c), F.lit(0.0)).alias("spearman"))
 
 
-def pr_curve(rows: DataFrame, score: str, label: str, digits: int = 4) -> DataFrame:
+def pr_curve(rows: DataFrame, score: str, label: str) -> DataFrame:
     """(threshold, true_positives, flagged, precision, recall) at every distinct score, from the highest.
 
-    Scores are rounded, so that however many rows there are, the running sums go over a bounded number of them.
+    The running sums go over range partitions of the distinct scores, however many there are.
     """
-    by = rows.where(F.col(score).isNotNull()).groupBy(F.round(score, digits).alias("threshold")).agg(F.count_if(label).alias("_p"), F.count("*").alias("_n"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy()
-    x = by.select("threshold", F.sum("_p").over(w).alias("true_positives"), F.sum("_n").over(w).alias("flagged"), F.sum("_p").over(total).alias("_all"))
+    by = rows.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(F.col(score).alias("threshold")).agg(F.count_if(label).alias("_p"), F.count("*").alias("_n"))
+    x = running(by, [F.desc("threshold")], {"true_positives": ("sum", "_p"), "flagged": ("sum", "_n")})
+    x = x.crossJoin(F.broadcast(by.agg(F.sum("_p").alias("_all"))))  # one row
     return x.select("threshold", "true_positives", "flagged", (F.col("true_positives") / F.col("flagged")).alias("precision"), F.when(F.col("_all") > 0, F.col("true_positives") / F.col("_all")).otherwise(0.0).alias("recall"))
 
 
 def average_precision(curve: DataFrame) -> DataFrame:
     """One row: the area under a precision-recall curve, as a sum of steps."""
-    w = Window.orderBy(F.desc("threshold"))
-    x = curve.select("precision", (F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))).alias("step"))
-    return x.agg(F.sum(F.col("precision") * F.col("step")).alias("average_precision"))
+    x = running(curve, [F.desc("threshold")], {"_was": ("max", "recall")}, before=True)  # recall never falls
+    return x.agg(F.sum(F.col("precision") * (F.col("recall") - F.coalesce("_was", F.lit(0.0)))).alias("average_precision"))
 
 
 def best_threshold(curve: DataFrame, target_recall: float | None = None, most: float = 0.5) -> DataFrame:

@@ -309,7 +309,10 @@ def vector_drift(spark, d):
 def index_comparison(spark, d):
     x = retrieval.drifts(load(spark, d, "embedding_comparisons"))
     one = lambda c, v: F.round(F.coalesce(c, F.lit(v)), 6)
-    return x.groupBy("strategy_name", "status").agg(F.count("*").alias("n"), one(F.avg("cosine"), 1.0).alias("mean_cosine"), one(F.min("cosine"), 1.0).alias("min_cosine"), one(F.percentile("drift", 0.95), 0.0).alias("p95_drift"))
+    x = cut(x.select("strategy_name", "status", "cosine", "drift"), "drifts")
+    g = x.groupBy("strategy_name", "status").agg(F.count("*").alias("n"), one(F.avg("cosine"), 1.0).alias("mean_cosine"), one(F.min("cosine"), 1.0).alias("min_cosine"))
+    q = series.quantiles(x, ["strategy_name", "status"], "drift", {"q": 0.95}).select(F.col("strategy_name").alias("_a"), F.col("status").alias("_b"), "q")
+    return g.join(q, g["strategy_name"].eqNullSafe(q["_a"]) & g["status"].eqNullSafe(q["_b"]), "left").select(*g.columns, one(F.col("q"), 0.0).alias("p95_drift"))
 
 
 @query("""SELECT DISTINCT comparison_id, fresh, len(v) AS dimensions, round(v[1], 6) AS first FROM (SELECT comparison_id, coalesce(status, 'unchanged') AS s, coalesce(status IN ('modified', 'added'), false) OR baseline_raw_vector IS NULL AS fresh,
@@ -402,12 +405,13 @@ def confusion_matrix(spark, d):
     return _needs(spark, d).groupBy("needs", "done").agg(F.count("*").alias("n"))
 
 
-_PR = f"{_V}, sc AS (SELECT round(1 - cosine, 4) AS threshold, status = 'modified' AS y FROM dr WHERE cosine IS NOT NULL), bt AS (SELECT threshold, count(*) FILTER (y) AS p, count(*) AS n FROM sc GROUP BY 1), cu AS (SELECT threshold, sum(p) OVER (ORDER BY threshold DESC) AS tp, sum(n) OVER (ORDER BY threshold DESC) AS f, sum(p) OVER () AS a FROM bt)"
+_PR = f"{_V}, sc AS (SELECT round(1 - cosine, 9) AS threshold, status = 'modified' AS y FROM dr WHERE cosine IS NOT NULL), bt AS (SELECT threshold, count(*) FILTER (y) AS p, count(*) AS n FROM sc GROUP BY 1), cu AS (SELECT threshold, sum(p) OVER (ORDER BY threshold DESC) AS tp, sum(n) OVER (ORDER BY threshold DESC) AS f, sum(p) OVER () AS a FROM bt)"
 
 
 def _curve(spark, d):
     x = retrieval.drifts(load(spark, d, "embedding_comparisons")).where("cosine is not null").withColumn("y", F.col("status") == "modified")
-    return retrieval.pr_curve(x.withColumn("score", F.round("drift", 4)), "score", "y")
+    # the last bits of a drift depend on the order of its sum, in SQL too
+    return retrieval.pr_curve(x.withColumn("score", F.round("drift", 9)), "score", "y")
 
 
 @query(f"WITH {_PR} SELECT threshold, CAST(tp AS BIGINT) AS true_positives, CAST(f AS BIGINT) AS flagged, round(tp / f, 6) AS precision, round(tp / a, 6) AS recall FROM cu")
@@ -454,36 +458,74 @@ def normalize_query(spark, d):
     return load(spark, d, "query_cases").select("query_id", text.collapse(F.col("query_text")).alias("collapsed"), text.lower_collapse(F.col("query_text")).alias("key")).distinct()
 
 
-@query(r"SELECT DISTINCT entity_id, list_filter(string_split_regex(lower(regexp_replace(regexp_replace(regexp_replace(entity_id, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' +'), lambda w: w <> '') AS words FROM entities")
+_WORDS = r"list_filter(string_split_regex(replace(lower(regexp_replace(regexp_replace({x}, '(.)([A-Z][a-z]+)', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '_', ' '), '\s+'), lambda w: w <> '')"
+
+
+@query(f"SELECT DISTINCT entity_id, {_WORDS.format(x='entity_id')} AS words FROM entities")
 def split_identifier(spark, d):
     return load(spark, d, "entities").select("entity_id").distinct().select("entity_id", text.split_identifier(F.col("entity_id")).alias("words"))
 
 
 _GRAM = "list_filter(string_split(regexp_replace(lower({t}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
 _GRAMS = "SELECT DISTINCT {i}, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT {i}, w, unnest(range(1, len(w) - 2)) AS i FROM (SELECT {i}, " + _GRAM + " AS w FROM {f}) WHERE len(w) >= 4)"
-
-
-@query("WITH a AS (" + _GRAMS.format(i="query_id", t="query_text", f="query_cases") + "), b AS (" + _GRAMS.format(i="doc_id", t="text", f="documents") + ") SELECT query_id, doc_id, CAST(count(*) AS BIGINT) AS shared, min(g) AS first FROM a JOIN b USING (g) GROUP BY 1, 2")
+# a case is judged against the newest source of its target in the whole table
+_TARGETS = """tg AS (SELECT entity_id, source_code FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ingested_at DESC, commit_hash DESC) AS rn FROM entities WHERE commit_hash IS NOT NULL) WHERE rn = 1),
+qc AS (SELECT DISTINCT query_id, query_text, target_entity_id, file_path FROM query_cases), qs AS (SELECT qc.*, source_code, concat(query_id, '|', target_entity_id) AS k FROM qc JOIN tg ON entity_id = target_entity_id)"""
+_SHARED = _TARGETS + ", qa AS (" + _GRAMS.format(i="k", t="query_text", f="qs") + "), sa AS (" + _GRAMS.format(i="k", t="source_code", f="qs") + "), sh AS (SELECT k, list_sort(list(g)) AS shared FROM qa JOIN sa USING (k, g) GROUP BY k)"
+_LEAKS = rf"""fp AS (SELECT *, string_split(target_entity_id, '::') AS p, regexp_extract(coalesce(file_path, ''), '([^/]*)/*$', 1) AS f FROM (SELECT DISTINCT query_id, query_text, target_entity_id, file_path FROM query_cases)),
+ft AS (SELECT query_id, query_text, target_entity_id, file_path, unnest(CASE WHEN len(p) > 1 THEN p[2:] ELSE p END) AS t FROM fp UNION SELECT query_id, query_text, target_entity_id, file_path, w FROM
+  (SELECT *, unnest({_WORDS.format(x='p[-1]')}) AS w FROM fp) WHERE length(w) >= 4
+  UNION SELECT query_id, query_text, target_entity_id, file_path, f FROM fp WHERE f <> '' UNION SELECT query_id, query_text, target_entity_id, file_path, s FROM
+  (SELECT *, CASE WHEN regexp_matches(f, '^.+\.[^.]*$') THEN regexp_replace(f, '\.[^.]*$', '') ELSE f END AS s FROM fp) WHERE length(s) >= 4 AND s <> '__init__'),
+lt AS (SELECT DISTINCT query_id, target_entity_id, lower(t) AS t FROM ft WHERE replace(t, '_', '') <> '' AND regexp_matches(lower(query_text), '(^|[^a-z0-9_])' || regexp_escape(lower(t)) || '($|[^a-z0-9_])')
+  UNION SELECT query_id, target_entity_id, lower(file_path) FROM fp WHERE file_path <> '' AND contains(lower(query_text), lower(file_path))),
+lk AS (SELECT query_id, target_entity_id, list_sort(list(DISTINCT t)) AS leaks FROM lt GROUP BY ALL)"""
+
+
+def cases_with_source(spark, d) -> DataFrame:
+    """Query cases with source_code, the newest source of their target in the whole table; null where there is none."""
+    newest = load(spark, d, "entities").where("commit_hash is not null and entity_id is not null").groupBy(F.col("entity_id").alias("target_entity_id"))
+    newest = newest.agg(F.max(F.struct("ingested_at", "commit_hash", "source_code")).alias("r")).select("target_entity_id", F.col("r.source_code").alias("source_code"), F.lit(True).alias("known"))
+    return load(spark, d, "query_cases").select("query_id", "query_text", "target_entity_id", "file_path").distinct().join(newest, "target_entity_id", "left")
+
+
+@query("WITH " + _SHARED + " SELECT qs.query_id, qs.target_entity_id, CAST(len(shared) AS BIGINT) AS shared, shared[1] AS first FROM sh JOIN qs USING (k)")
 def shared_ngrams(spark, d):
-    return text.shared_ngrams(load(spark, d, "query_cases"), "query_id", "query_text", load(spark, d, "documents"), "doc_id", "text")
+    """Runs of four words that a query copies from its own target's source."""
+    x = cases_with_source(spark, d).where("known").select("query_id", "target_entity_id", text.shared_ngrams(F.col("query_text"), F.col("source_code")).alias("g"))
+    return x.where("size(g) > 0").select("query_id", "target_entity_id", F.size("g").cast("long").alias("shared"), F.col("g")[0].alias("first"))
 
 
-@query()
+@query("WITH " + _LEAKS + " SELECT * FROM lk")
 def identifier_leaks(spark, d):
-    x = load(spark, d, "query_cases").select("query_id", "query_text", text.forbidden_terms(F.col("target_entity_id")).alias("terms"))
-    return x.select("query_id", text.leaked_terms(F.col("query_text"), F.col("terms")).alias("leaks")).where("size(leaks) > 0").distinct()
+    x = load(spark, d, "query_cases").select("query_id", "target_entity_id", text.leaked_terms(F.col("query_text"), F.col("target_entity_id"), F.col("file_path")).alias("leaks"))
+    return x.where("size(leaks) > 0").distinct()
+
+
+_PROBLEMS = "WITH " + _SHARED + ", " + _LEAKS + """, pb AS (SELECT qs.query_id, qs.target_entity_id, list_filter([CASE WHEN len(leaks) > 0 THEN 'identifier:' || array_to_string(leaks, ',') END, CASE WHEN len(shared) > 0 THEN 'verbatim:' || shared[1] END], lambda x: x IS NOT NULL) AS problems
+FROM qs LEFT JOIN sh USING (k) LEFT JOIN lk ON lk.query_id = qs.query_id AND lk.target_entity_id = qs.target_entity_id)"""
+
+
+@query(_PROBLEMS + " SELECT * FROM pb WHERE len(problems) > 0")
+def query_violations(spark, d):
+    x = cases_with_source(spark, d).where("known")
+    x = x.select("query_id", "target_entity_id", text.violations(F.col("query_text"), F.col("target_entity_id"), F.col("file_path"), F.col("source_code")).alias("problems"))
+    return x.where("size(problems) > 0")
 
 
-@query(r"""WITH q AS (SELECT DISTINCT query_id, target_entity_id, lower(trim(regexp_replace(query_text, '\s+', ' ', 'g'))) AS k FROM query_cases), a AS (SELECT k FROM q GROUP BY k HAVING count(DISTINCT target_entity_id) > 1), c AS (SELECT target_entity_id, count(*) AS n FROM q GROUP BY 1)
-SELECT CAST((SELECT count(*) FROM q) AS BIGINT) AS queries, CAST((SELECT count(*) FROM c) AS BIGINT) AS targets, CAST((SELECT count(*) FROM a) AS BIGINT) AS ambiguous, CAST((SELECT count(*) FROM c WHERE n < 5) AS BIGINT) AS under_covered, CAST((SELECT count(*) FROM c WHERE target_entity_id NOT IN (SELECT entity_id FROM entities)) AS BIGINT) AS missing""")
+@query(_PROBLEMS + r""", q AS (SELECT DISTINCT query_id, target_entity_id, lower(trim(regexp_replace(query_text, '\s+', ' ', 'g'))) AS k FROM query_cases), a AS (SELECT k FROM q GROUP BY k HAVING count(DISTINCT target_entity_id) > 1), c AS (SELECT target_entity_id, count(*) AS n FROM q GROUP BY 1),
+r AS (SELECT CAST((SELECT count(*) FROM q) AS BIGINT) AS queries, CAST((SELECT count(*) FROM c) AS BIGINT) AS targets, CAST((SELECT count(*) FROM a) AS BIGINT) AS ambiguous, CAST((SELECT count(*) FROM c WHERE n < 5) AS BIGINT) AS under_covered,
+CAST((SELECT count(*) FROM c WHERE target_entity_id NOT IN (SELECT entity_id FROM entities WHERE commit_hash IS NOT NULL AND entity_id IS NOT NULL)) AS BIGINT) AS missing, CAST((SELECT count(*) FROM pb WHERE len(problems) > 0) AS BIGINT) AS leaking)
+SELECT *, ambiguous + under_covered + missing + leaking = 0 AS ok FROM r""")
 def query_audit(spark, d):
     q = load(spark, d, "query_cases").select("query_id", "target_entity_id", text.lower_collapse(F.col("query_text")).alias("k")).distinct()
     c = q.groupBy("target_entity_id").agg(F.count("*").alias("n"))
-    known = load(spark, d, "entities").select(F.col("entity_id").alias("target_entity_id")).distinct().withColumn("known", F.lit(True))
+    known = load(spark, d, "entities").where("commit_hash is not null").select(F.col("entity_id").alias("target_entity_id")).distinct().withColumn("known", F.lit(True))
     c = c.join(known, "target_entity_id", "left").agg(F.count("*").alias("targets"), F.count_if(F.col("n") < 5).alias("under_covered"), F.count_if(F.col("known").isNull()).alias("missing"))
-    a = q.groupBy("k").agg(F.countDistinct("target_entity_id").alias("t")).agg(F.sum("t").alias("_"), F.count_if(F.col("t") > 1).alias("ambiguous")).drop("_")
-    n = q.agg(F.count("*").alias("queries"))
-    return n.crossJoin(c).crossJoin(a).select("queries", "targets", "ambiguous", "under_covered", "missing")  # one row each
+    a = q.groupBy("k").agg(F.countDistinct("target_entity_id").alias("t")).agg(F.count_if(F.col("t") > 1).alias("ambiguous"))
+    leaking = query_violations(spark, d).agg(F.count("*").alias("leaking"))
+    x = q.agg(F.count("*").alias("queries")).crossJoin(c).crossJoin(a).crossJoin(leaking)  # one row each
+    return x.select("queries", "targets", "ambiguous", "under_covered", "missing", "leaking", (F.col("ambiguous") + F.col("under_covered") + F.col("missing") + F.col("leaking") == 0).alias("ok"))
 
 
 @query("SELECT DISTINCT query_id FROM query_cases WHERE target_entity_id NOT IN (SELECT entity_id FROM entities)")

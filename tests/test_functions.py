@@ -20,10 +20,15 @@ def test_text(spark):
     assert one(spark, "parseHTTPRequest_v2", text.split_identifier(t))[0] == ["parse", "http", "request", "v2"]
     assert one(spark, "One two, three FOUR five", text.ngrams(t))[0] == ["one two three four", "two three four five"]
     assert one(spark, "a b", text.ngrams(t))[0] == [] and one(spark, None, text.ngrams(t))[0] == []
-    assert one(spark, "src/loader.py::Cache::load_item", text.forbidden_terms(t))[0] == ["item", "load", "load_item", "loader", "loader.py"]
-    terms = F.array(F.lit("load"), F.lit("item"))
-    assert one(spark, "Which one loads an ITEM?", text.leaked_terms(t, terms))[0] == ["item"]
-    assert one(spark, "reload load", text.leaked_terms(t, terms))[0] == ["load"]
+    lit = F.lit
+    assert one(spark, "src/loader.py::Cache::load_item", text.forbidden_terms(t, lit("src/loader.py")))[0] == ["cache", "item", "load", "load_item", "loader", "loader.py"]
+    assert one(spark, "__::go", text.forbidden_terms(t, lit(None).cast("string")))[0] == ["go"]
+    leaks = lambda q: one(spark, q, text.leaked_terms(t, lit("a/io.py::Cache::load_item"), lit("a/io.py")))[0]
+    assert leaks("Which one loads an ITEM of the cache?") == ["cache", "item"] and leaks("reload load") == ["load"] and leaks("see xa/io.pyc") == ["a/io.py"] and leaks("in a/io.py") == ["a/io.py", "io.py"]
+    v = lambda q: one(spark, q, text.violations(t, lit("f.py::go"), lit("f.py"), lit("it takes the next one now")))[0]
+    assert v("What takes the next one?") == ["verbatim:takes the next one"] and v("go on") == ["identifier:go"] and v("fine") == []
+    assert one(spark, 'def f():\n    """ Reads a thing.\n  More."""\n', text.docstring_summary(t))[0] == "Reads a thing." and one(spark, '"""abc"""', text.docstring_summary(t))[0] is None
+    assert one(spark, "x = '#'  # c\n" + '"""d"""y', text.cleaned(t))[0] == "x = '#'  \ny"
 
 
 SOURCE = '''import os.path as p
@@ -58,9 +63,34 @@ def test_code(spark):
     assert {(r["src"], r["dst"]) for r in code.call_edges(code.parse_entities(files)).collect()} == {("f.py::K::m", "f.py::K::n"), ("f.py::K::m", "f.py::helper")}
     assert code.normalised("def f(a):\n  # x\n  b = a\n  return b") == code.normalised("def f(z):\n    q = z\n    return q")
     assert code.normalised("def f(a): return a") != code.normalised("def f(a): return 2")
+    # annotations keep their names, layout and brackets count for nothing
+    assert code.normalised("def f(a: b):\n  b = (a)\n  return b") == code.normalised("def f(x: b):\n    y = x\n    return y") != code.normalised("def f(x: y):\n    y = x\n    return y")
+    assert code.normalised("f(; // x\n/* y */ 2 # z") == "f(; 2" and code.normalised("import a\na.b()") != code.normalised("import c\nc.b()")
     assert one(spark, "@dec\ndef f(a,\n      b):  # c\n    pass", code.signature(F.col("t")))[0] == "def f(a,\n      b):"
 
 
+CALLS = {
+    "pkg/a.py": "from pkg.b import helper\nfrom lib import tool as t\n\ndef main():\n    helper()\n    t()\n    lonely()\n    twice()\n    near()\n\ndef near():\n    main()\n",
+    "pkg/b.py": "def helper():\n    return twice()\n\nclass K:\n    def run(self):\n        self.step()\n    def step(self):\n        pass\n",
+    "other/c.py": "def helper():\n    pass\n\ndef lonely():\n    pass\n\ndef twice():\n    pass\n",
+    "pkg/d.py": "def twice():\n    pass\n\ndef step():\n    pass\n",
+    "src/lib.py": "def tool():\n    pass\n",
+}
+
+
+def test_calls_by_priority(spark):
+    files = spark.createDataFrame([("c", p, s) for p, s in CALLS.items()], "commit_hash string, file_path string, content string")
+    e = code.parse_entities(files)
+    got = {(r["src"], r["dst"]) for r in code.call_edges(e, code.imports(files)).collect()}
+    main = "pkg/a.py::main"
+    assert got == {
+        (main, "pkg/b.py::helper"), (main, "src/lib.py::tool"), (main, "other/c.py::lonely"), (main, "pkg/d.py::twice"), (main, "pkg/a.py::near"), ("pkg/a.py::near", main),
+        ("pkg/b.py::helper", "pkg/d.py::twice"), ("pkg/b.py::K::run", "pkg/b.py::K::step"),
+    }
+    # without imports helper is unique in the directory only, and the alias t is no name
+    assert {(r["src"], r["dst"]) for r in code.call_edges(e).collect()} == got - {(main, "src/lib.py::tool")}
+
+
 def test_anchors_as_table_and_stream(spark, tmp_path):
     rows = [("s", "e", 1, "c1", False), ("s", "e", 2, "c2", True), ("s", "e", 3, "c3", False), ("s", "f", 2, "c2", False), ("s", "e", 4, "c4", True)]
     schema = "strategy string, entity_id string, at long, commit string, done boolean"
@@ -84,8 +114,8 @@ def test_git_source(spark, tmp_path):
         subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
 
     run("init", "-q")
-    for i, word in enumerate(("hello", "goodbye")):
-        (tmp_path / "module.py").write_text(f"def greet():\n    return '{word}'\n")
+    for i, n in enumerate((2, 3)):
+        (tmp_path / "sizes.py").write_text(f"def area(w):\n    return w ** {n}\n")
         run("add", ".")
         run("commit", "-qm", f"c{i}")
     git.register(spark)
@@ -93,8 +123,8 @@ def test_git_source(spark, tmp_path):
     commits = read("commits").orderBy("seq").collect()
     assert [r["message"] for r in commits] == ["c0", "c1"]
     files = read("files")
-    assert files.count() == 2 and {r["entity_id"] for r in code.parse_entities(files).collect()} == {"module.py::greet"}
-    assert tuple(read("file_diffs").first()) == (commits[0]["commit_hash"], commits[1]["commit_hash"], "module.py", 1, 1)
+    assert files.count() == 2 and {r["entity_id"] for r in code.parse_entities(files).collect()} == {"sizes.py::area"}
+    assert tuple(read("file_diffs").first()) == (commits[0]["commit_hash"], commits[1]["commit_hash"], "sizes.py", 1, 1)
 
 
 def test_settings(spark, tmp_path):
