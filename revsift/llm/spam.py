@@ -5,18 +5,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
-from urllib.parse import urlparse
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as ds
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revsift.common import cut
+from revsift.common import cut, dataset, partitions, qualified, shared_dir, small
 
-#: Counts up to which their table is read by every task; beyond, each document's counts are joined to it by a shuffle.
-MOST_COUNTS = 4_000_000
+#: Bytes of texts whose words and pairs are counted, and scored, together.
+CHUNK_BYTES = 16 << 20
 #: Mean pointwise mutual information (bits, of pairs elsewhere in the corpus) below which a line of 5 words is a salad,
 #: a line with links no description, a repeated one no sentence, and a line with an article number no sentence.
 SALAD, DESCRIBED, REPEATED, PRODUCT = 1.3, 1.5, 3.3, 2.4
@@ -111,22 +111,60 @@ def _sorted_runs(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order, np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, int)
 
 
+def _chunks(most: int):
+    """Adds the chunk of each text: texts of one partition that follow each other, of `most` bytes about."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first, size = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            ends = size + np.cumsum(pc.binary_length(b.column("text")).to_numpy().astype(np.int64))
+            size = int(ends[-1]) if len(ends) else size
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first + ends // most, pa.int64())], names=[*b.schema.names, "chunk"])
+
+    return run
+
+
+def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Texts of one chunk at a time, as far as they follow each other."""
+    held, now = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        of = b.column("chunk").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if held and of[lo] != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = of[lo]
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n, texts) of words and pairs, for each batch; the number of all words in a row of its own."""
+    """(chunk, key, n, texts) of words and pairs, and the number of all words as key 0 of words 1. Each of a text's copies
+    counts for its share."""
     codes = _Codes()
-    for b in batches:
-        code, doc, hashes = _coded(b.column("text").to_pylist(), codes)
+    for t in _by_chunk(batches):
+        chunk = t.column("chunk")[0].as_py()
+        share = 1.0 / t.column("copies").to_numpy()
+        code, doc, hashes = _coded(t.column("text").to_pylist(), codes)
         at, pair = _pairs(code, hashes)
         words = np.flatnonzero(code > _ANCHOR)
         for key, of in ((hashes[code[words]], doc[words]), (pair, doc[at])):
+            if not len(key):
+                continue
             order, starts = _sorted_runs(key, of)
-            n, key = np.diff(np.append(starts, len(key))), key[order[starts]] if len(key) else key
+            n, key, of = np.diff(np.append(starts, len(key))), key[order[starts]], of[order[starts]]
             order = np.argsort(key)
-            key, n = key[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-            if len(first):
-                yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(np.add.reduceat(n, first)), pa.array(np.diff(np.append(first, len(key)))), pa.array(np.zeros(len(first), np.int64))], names=["key", "n", "texts", "words"])
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([len(words)]), pa.array([2]), pa.array([1])], names=["key", "n", "texts", "words"])
+            key, part = key[order], share[of[order]]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            total = (np.add.reduceat(n[order] * part, first), np.add.reduceat(part, first))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), chunk)), pa.array(key[first].view(np.int64)), *(pa.array(x) for x in total), pa.array(np.zeros(len(first), np.int32))], names=["chunk", "key", "n", "texts", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([0]), pa.array([float(share[doc[words]].sum())]), pa.array([2.0]), pa.array([1], pa.int32())], names=["chunk", "key", "n", "texts", "words"])
 
 
 class _Table:
@@ -137,14 +175,6 @@ class _Table:
         # one more, so that a search for any key stays within
         self.keys, self.n, self.texts = np.append(keys[order], np.iinfo(np.int64).max), np.append(n[order], 0), np.append(texts[order], 0)
 
-    @classmethod
-    def read(cls, path: str) -> _Table:
-        from pyarrow import fs
-
-        system, at = (fs.LocalFileSystem(), urlparse(path).path) if path.startswith(("/", "file:")) else fs.FileSystem.from_uri(path)
-        t = ds.dataset(at, filesystem=system, format="parquet").to_table(columns=["key", "n", "texts"], use_threads=False)
-        return cls(*(t.column(c).to_numpy() for c in ("key", "n", "texts")))
-
     def get(self, key: np.ndarray) -> np.ndarray:
         key = key.view(np.int64)
         at = np.searchsorted(self.keys, key)
@@ -230,62 +260,47 @@ def score(texts: list[str], table: _Table, total: int, codes: _Codes) -> tuple[n
     return np.bincount(line_doc, size, minlength=len(texts)).astype(np.int64), np.bincount(line_doc, size * bad, minlength=len(texts)).astype(np.int64), spread
 
 
-def _scored(path: str | None, total: int):
-    """With a path, counts come from the table there; else from the row's own lists keys and counts."""
+def _scored(uri: str, total: int):
+    """A chunk's texts with the corpus counts of its own words and pairs, which are next to each other below the path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, table = _Codes(), _Table.read(path) if path else None
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            if not texts:
-                continue
-            t = table
-            if t is None:
-                k = np.concatenate([np.zeros(0, np.int64), *[np.array(x or [], np.int64) for x in b.column("keys").to_pylist()]])
-                n, m = (np.concatenate([np.zeros(0, np.int64), *[np.array(x or [], np.int64) for x in b.column(c).to_pylist()]]) for c in ("counts", "texts"))
-                k, at = np.unique(k, return_index=True)
-                t = _Table(k, n[at], m[at])
-            words, spam, pmi = score(texts, t, total, codes)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(words), pa.array(spam), pa.array(pmi)], names=["doc_id", "words", "spam_words", "pmi"])
+        codes, counts = _Codes(), dataset(uri)
+        for t in _by_chunk(batches):
+            k = counts.to_table(columns=["key", "n", "texts"], filter=pc.field("chunk") == t.column("chunk")[0].as_py(), use_threads=False)
+            key, at = np.unique(k.column("key").to_numpy(), return_index=True)
+            table = _Table(key, *(k.column(c).to_numpy()[at] for c in ("n", "texts")))
+            words, spam, pmi = score(t.column("text").to_pylist(), table, total, codes)
+            yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array(words), pa.array(spam), pa.array(pmi)], names=["doc_id", "words", "spam_words", "pmi"])
 
     return run
 
 
-def _keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codes = _Codes()
-    for b in batches:
-        for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            code, _, hashes = _coded([t], codes)
-            k = np.unique(np.concatenate([hashes[code[code > _ANCHOR]], _pairs(code, hashes)[1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), i, np.int64)), pa.array(k.view(np.int64))], names=["doc_id", "key"])
-
-
-def spam_pages(documents: DataFrame, most_counts: int = MOST_COUNTS) -> DataFrame:
+def spam_pages(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, words, spam_words, pmi, is_spam) of every page with a text.
 
-    Words and pairs of neighbours within a line are counted over all texts of the corpus, exact copies once, as else the
-    pairs of a much copied page would look like language. A page is read line by line: lines
+    Words and pairs of neighbours within a line are counted over all texts of the corpus, exact copies once (each for its
+    share), as else the pairs of a much copied page would look like language. A page is read line by line: lines
     whose pairs carry little information are word salads, pairs that the page has far more often than the corpus
     are stuffed collocations, and lines of links or article numbers without a sentence are lists. A page is spam if most of
     its words are in such lines; pages of a few words never are. pmi is the page's mean information, in bits.
 
-    Only pairs that occur in two texts or more are kept, as others have no count outside of their page. If those are few
-    enough (checked), every task reads the table; else each page's counts are joined to it by a shuffle, with the same
-    result. Null and empty texts are left out; repeated rows are judged each; a null doc_id stays null.
+    Texts are written in chunks of a bounded size (a longer text is a chunk of its own). A chunk's words and pairs are added
+    up before they are moved; the corpus counts of those that occur in two texts or more (others have no count outside of
+    their page) are joined back to the chunks that hold them, and a task reads just its chunk's. Nothing is broadcast but
+    the digests of repeated texts, if they are few (checked). Null and empty texts are left out; repeated rows are judged
+    each; a null doc_id stays null.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("length(text) > 0")
-    counts = docs.select("text").distinct().mapInArrow(_count, "key long, n long, texts long, words long").groupBy("words", "key").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).where("texts > 1")
-    counts = cut(counts.select("words", "key", "n", "texts"), "counts")
-    total = counts.where("words = 1").agg(F.sum("n")).first()[0] or 0
-    counts = counts.where("words = 0").select("key", "n", "texts")
-    out = "doc_id long, words long, spam_words long, pmi double"
-    if counts.count() <= most_counts:
-        scored = docs.mapInArrow(_scored(cut(counts, "pairs").inputFiles()[0].rpartition("/")[0], total), out)
-    else:
-        # rows are told apart by a number of their own, as ids may repeat
-        own = cut(docs.withColumn("row", F.monotonically_increasing_id()), "texts")
-        keys = own.select(F.col("row").alias("doc_id"), "text").mapInArrow(_keys_of, "doc_id long, key long")
-        held = keys.join(counts, "key").groupBy(F.col("doc_id").alias("row")).agg(F.collect_list(F.struct("key", "n", "texts")).alias("c"))
-        own = own.join(held.select("row", F.col("c.key").alias("keys"), F.col("c.n").alias("counts"), F.col("c.texts").alias("texts")), "row", "left")
-        scored = own.select("doc_id", "text", "keys", "counts", "texts").mapInArrow(_scored(None, total), out)
+    spark = documents.sparkSession
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5("text")).alias("way")).where("length(text) > 0")
+    copied = cut(docs.groupBy("way").agg(F.count("*").alias("copies")).where("copies > 1"), "copied")
+    own = docs.join(small(copied), "way", "left").select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"))
+    own = cut(own.mapInArrow(_chunks(chunk_bytes), "doc_id long, text string, copies long, chunk long"), "texts")
+    keys = cut(own.select("text", "copies", "chunk").mapInArrow(_count, "chunk long, key long, n double, texts double, words int"), "keys")
+    total = int(round(keys.where("words = 1").agg(F.sum("n")).first()[0] or 0))
+    keys = keys.where("words = 0")
+    counts = keys.groupBy("key").agg(F.round(F.sum("n")).cast("long").alias("n"), F.round(F.sum("texts")).cast("long").alias("texts")).where("texts > 1")
+    held = keys.select("chunk", "key").join(counts, "key").repartition(partitions(spark), "chunk").sortWithinPartitions("chunk")
+    path = qualified(spark, f"{shared_dir(spark)}/revsift-chunk-counts-{uuid4().hex}")
+    held.write.parquet(path)
+    scored = own.select("doc_id", "text", "chunk").mapInArrow(_scored(path, total), "doc_id long, words long, spam_words long, pmi double")
     return scored.withColumn("is_spam", (F.col("words") >= FEWEST) & (F.col("spam_words") > SHARE * F.col("words")))
