@@ -40,7 +40,19 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/revsift-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.revsift_path = path
+    return out
+
+
+def forget(*dfs: DataFrame) -> None:
+    """Removes the files of tables that were cut and that no later plan reads, such as the last round's state of a loop."""
+    for df in dfs:
+        path = getattr(df, "revsift_path", None)
+        if path:
+            spark = df.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def qualified(spark: SparkSession, path: str) -> str:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revsift.common import cut
+from revsift.common import cut, forget
 
 #: Ranks are final when all together change by less than this a node, and after so many rounds at the latest.
 TOLERANCE, MOST_ROUNDS = 1e-6, 100
@@ -82,13 +82,15 @@ def ranks_by_part(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None =
     links = cut(edges.select("part", F.col("src").alias("node"), "dst").join(out, ["part", "node"]), "links")
     start = 1.0 / F.col("n") if seeds is None else F.when(F.col("seeded"), 1.0 / F.col("n")).otherwise(0.0)
     rank = cut(base.join(out, key, "left").select(*key, "n", "p", "deg", start.alias("rank")), "base")
+    last = None
     for _ in range(MOST_ROUNDS if rounds is None else rounds):
         lost = rank.where("deg is null").groupBy("part").agg(F.sum("rank").alias("lost"))
         got = rank.select(*key, "rank").join(links, key).groupBy("part", F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
         new = rank.join(got, key, "left").join(lost, "part", "left")
         sent = alpha * (F.coalesce("got", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) * F.col("p")) + (1 - alpha) * F.col("p")
-        new = cut(new.select(*key, "n", "p", "deg", sent.alias("rank"), F.col("rank").alias("was")), "rank")
-        rank = new.drop("was")
+        old, new = (rank if last is None else last), cut(new.select(*key, "n", "p", "deg", sent.alias("rank"), F.col("rank").alias("was")), "rank")
+        forget(old)
+        last, rank = new, new.drop("was")
         if rounds is None and (new.groupBy("part").agg((F.sum(F.abs(F.col("rank") - F.col("was"))) / F.max("n")).alias("change")).agg(F.max("change")).first()[0] or 0.0) < TOLERANCE:
             break
     return rank.select(*key, "rank")
@@ -135,7 +137,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(star, "star")
+        old, e = e, cut(star, "star")
+        forget(old)
         was, now = now, mark(e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
@@ -233,6 +236,36 @@ def reached_seeds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     front = known = cut(seeds.select("node", F.col("node").alias("seed")).distinct(), "reached")
     while not front.isEmpty():
         front = front.join(back, "node").select(F.col("up").alias("node"), "seed").distinct().join(known, ["node", "seed"], "left_anti")
-        front = cut(front, "front")
-        known = cut(known.unionByName(front), "reached")
+        old, front = front, cut(front, "front")
+        past, known = known, cut(known.unionByName(front), "reached")
+        forget(old, past)
     return known.where("node <> seed").groupBy("node").agg(F.count("*").alias("n"))
+
+
+def distance(edges: DataFrame, source: str, target: str) -> int | None:
+    """Hops along the edges from one node to another; null where there is no way."""
+    spark = edges.sparkSession
+    r = distances(edges, spark.createDataFrame([(source,)], "node string")).where(F.col("node") == target).first()
+    return None if r is None else r["distance"]
+
+
+def path_lengths(edges: DataFrame, part: str) -> DataFrame:
+    """(part, diameter, average_path) of the largest connected component of each part's graph, directions aside, from edges
+    (part, src, dst). Breadth-first from every node of the component at once: (seed, node) pairs, as many as the component's
+    pairs of nodes, go through joins and are never in one task."""
+    name = lambda c: F.concat(F.col(part).cast("string"), F.lit("\x01"), F.col(c))
+    e = cut(undirected(edges.where("src <> dst").select(name("src").alias("src"), name("dst").alias("dst"))), "both")
+    root = components(e.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    n = e.select(F.col("src").alias("node")).distinct().join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    of = F.split("node", "\x01")[0]
+    size = n.groupBy(of.alias("part"), "root").agg(F.count("*").alias("n")).groupBy("part").agg(F.max(F.struct(F.col("n"), F.col("root"))).alias("m"))
+    front = known = cut(n.join(size.select(F.col("m.root").alias("root"), F.col("m.n").alias("n")), "root").select(F.col("node").alias("seed"), "node", F.lit(0).alias("hops")), "seeds")
+    hop = 0
+    while not front.isEmpty():
+        hop += 1
+        front = front.join(e, front["node"] == e["src"]).select("seed", F.col("dst").alias("node")).distinct().join(known, ["seed", "node"], "left_anti")
+        old, front = front, cut(front.withColumn("hops", F.lit(hop)), "front")
+        past, known = known, cut(known.unionByName(front), "ways")
+        forget(old, past)
+    x = known.where("seed <> node").groupBy(F.split("node", "\x01")[0].alias(part))
+    return x.agg(F.max("hops").alias("diameter"), F.avg("hops").alias("average_path"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revsift.common import cut
+from revsift.common import cut, forget
 from revsift.operators import graph
 from revsift.operators.context import sides
 
@@ -154,12 +154,14 @@ def sequence_fold(steps: DataFrame, digests: DataFrame, edges: DataFrame, strate
         decisions = made.drop("digest") if decisions is None else decisions.unionByName(made.drop("digest"))
         fresh = made.select("repo", "entity_id", F.col("commit_after").alias("anchor"), F.col("digest").alias("form"), F.lit(1).alias("n"))
         both = state.join(fresh, ["repo", "entity_id"], "full")
+        past = state
         state = cut(
             both.select(
                 "repo", "entity_id", F.coalesce("anchor", "anchor_commit").alias("anchor_commit"), F.when(F.col("n").isNotNull(), F.col("form")).otherwise(F.col("digest")).alias("digest"),
                 (F.coalesce("update_count", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("update_count"),
             ), "anchors"
         )
+        forget(past, seen)
     if decisions is None:
         decisions = steps.select("repo", "commit_after", "step", F.lit(None).cast("string").alias("entity_id")).where("false")
     return decisions, state.select("repo", "entity_id", "anchor_commit", "update_count")

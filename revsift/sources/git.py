@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 
 from pyspark.sql import SparkSession
@@ -24,6 +25,28 @@ class _Commits(InputPartition):
         self.commits = commits
 
 
+class _Objects:
+    """Contents of a repository's objects through one process, asked one by one."""
+
+    def __init__(self, path: str) -> None:
+        self.run = subprocess.Popen(["git", "-C", path, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+
+    def get(self, name: str) -> str | None:
+        """Null for what is not there."""
+        self.run.stdin.write(name.encode() + b"\n")
+        self.run.stdin.flush()
+        head = self.run.stdout.readline().split()
+        if head[-1:] == [b"missing"] or len(head) < 3:
+            return None
+        body = self.run.stdout.read(int(head[-1]))
+        self.run.stdout.read(1)
+        return body.decode("utf-8", "replace")
+
+    def close(self) -> None:
+        self.run.stdin.close()
+        self.run.wait()
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.table = options["path"], options.get("table", "commits")
@@ -37,18 +60,64 @@ class _Reader(DataSourceReader):
         return [_Commits(rows[i : i + 64]) for i in range(0, len(rows), 64)] or [_Commits([])]
 
     def read(self, partition: _Commits):
-        for h, seq, before in partition.commits:
-            if self.table == "commits":
-                author, at, message = git(self.path, "show", "-s", "--format=%an%x00%aI%x00%B", h).split("\0", 2)
+        if self.table == "commits":
+            shown = git(self.path, "show", "-s", "--format=%an%x00%aI%x00%B%x00%x00", *[h for h, _, _ in partition.commits]) if partition.commits else ""
+            for (h, seq, _), text in zip(partition.commits, shown.split("\0\0")):
+                author, at, message = text.strip("\n").split("\0", 2)
                 yield h, seq, author, at, message.strip()
-            elif self.table == "files":
-                for p in git(self.path, "ls-tree", "-r", "-z", "--name-only", h).split("\0"):
-                    if p.endswith(self.suffix) and p:
-                        yield h, p, git(self.path, "show", f"{h}:{p}")
-            elif before:
-                for line in git(self.path, "diff", "--numstat", before, h).splitlines():
-                    added, deleted, p = line.split("\t", 2)
-                    yield before, h, p.replace("\\", "/"), int(added) if added != "-" else 0, int(deleted) if deleted != "-" else 0
+        elif self.table == "files":
+            objects = _Objects(self.path)
+            try:
+                for h, _, _ in partition.commits:
+                    for line in git(self.path, "ls-tree", "-r", "-z", h).split("\0"):
+                        about, _, p = line.partition("\t")
+                        if p.endswith(self.suffix) and p:
+                            yield h, p, objects.get(about.split()[2])
+            finally:
+                objects.close()
+        else:
+            for h, _, before in partition.commits:
+                if before:
+                    yield from ((before, h, *x) for x in diff_stats(self.path, before, h))
+
+
+def diff_stats(path: str, before: str, after: str, file: str | None = None) -> list[tuple[str, int, int]]:
+    """(file, lines added, lines deleted) between two commits; binary files have 0. Of one file: 0 and 0 where it is the same."""
+    found = []
+    for line in git(path, "diff", "--numstat", before, after, *(["--", file] if file else [])).splitlines():
+        added, deleted, p = line.split("\t", 2)
+        found.append((p.replace("\\", "/"), int(added) if added != "-" else 0, int(deleted) if deleted != "-" else 0))
+    return found or ([(file, 0, 0)] if file else [])
+
+
+def changed_files(path: str, before: str, after: str) -> list[str]:
+    return [p for p in git(path, "diff", "--name-only", before, after).splitlines() if p]
+
+
+def file_at(path: str, commit: str, file: str) -> str | None:
+    """A file's content at a commit, null where it is not there."""
+    try:
+        return git(path, "show", f"{commit}:{file}")
+    except subprocess.CalledProcessError:
+        return None
+
+
+def current_commit(path: str) -> str:
+    return git(path, "rev-parse", "HEAD").strip()
+
+
+def checkout(path: str, ref: str) -> None:
+    git(path, "checkout", "--quiet", ref)
+
+
+def clone(url: str, path: str) -> None:
+    """Clones a repository; one that is there is brought up to date, where its branch can be moved forward."""
+    if not os.path.isdir(os.path.join(path, ".git")):
+        subprocess.run(["git", "clone", "--quiet", url, path], check=True, capture_output=True)
+        return
+    git(path, "fetch", "--quiet", "--all")
+    if git(path, "rev-parse", "--abbrev-ref", "HEAD").strip() != "HEAD":
+        git(path, "pull", "--quiet", "--ff-only")
 
 
 class GitSource(DataSource):
