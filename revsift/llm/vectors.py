@@ -25,7 +25,7 @@ SAMPLE, LIST_SHARE, LIST_LEAST, LIST_MOST = 20_000, 0.2, 2_000, 40_000
 #: Vectors in a list of the inverted file, about.
 LIST_ROWS = 100
 #: Lists looked into for a vector; sub-quantisers and their codes: a vector's table has as many entries as both multiplied.
-PROBES, PARTS, CODES = 32, 16, 256
+PROBES, PARTS, CODES = 48, 16, 256
 #: The lists that a vector's k best are first looked for in, to know from which estimate on others can surpass them.
 FIRST = 6
 #: Vectors that a task searches for at once; pairs found beyond which those that others surpass are dropped.
