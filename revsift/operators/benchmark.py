@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revsift.operators.retrieval import ndcg, sign_p, wilson
+from revsift.common import cut
+from revsift.operators.retrieval import ndcg, sign_p, spearman, wilson
 
 #: Vectors of an index that one task scores, and queries it scores them for.
 INDEX_BLOCK, QUERY_BLOCK = 50_000, 2_000
@@ -178,3 +179,61 @@ def displacement_labels(rows: DataFrame, entities: DataFrame, part: str, alpha:
 def drift_by_distance(rows: DataFrame) -> DataFrame:
     """(distance, n, mean_drift, max_drift) of rows (distance, drift)."""
     return rows.where("distance is not null and drift is not null").groupBy("distance").agg(F.count("*").alias("n"), F.avg("drift").alias("mean_drift"), F.max("drift").alias("max_drift"))
+
+
+def _above(queries: DataFrame, index: DataFrame, part: str) -> DataFrame:
+    """(part, query_id, above): vectors of the index that score higher than the query's own column `fresh`."""
+    q = queries.select(part, "query_id", F.lit(None).cast("string").alias("target_entity_id"), "vector", "fresh", F.col("fresh").alias("stale"))
+    kind = dict(index.dtypes)[part]
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        a, b = p[p["side"] == 0], p[p["side"] == 1]
+        if not len(a) or not len(b):
+            return pd.DataFrame({part: [], "query_id": [], "above": []})
+        s = _matrix(a["vector"]) @ _matrix(b["vector"]).T
+        return pd.DataFrame({part: p[part].iloc[0], "query_id": a["id"], "above": (s > a["fresh"].to_numpy()[:, None] + 1e-12).sum(axis=1)})
+
+    x = _blocks(q, index, part).groupBy(part, "q", "e").applyInPandas(run, f"{part} {kind}, query_id string, above long")
+    return x.groupBy(part, "query_id").agg(F.sum("above").alias("above"))
+
+
+def evaluate_strategies(before: DataFrame, after: DataFrame, decisions: DataFrame, queries: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """(strategy_name, entities_updated, total_entities, update_percentage, recall_at_k, mrr, ndcg_at_10, rank_correlation): what an
+    index costs and finds that holds fresh vectors where a strategy decided so, or nothing was cached, and old ones elsewhere.
+
+    before, after (entity_id, vector); decisions (strategy_name, entity_id); queries (query_id, vector). Relevant are the k best
+    of the fresh index. MRR looks for the first of its ten best at any depth. The correlation is that of the scores summed over all
+    queries, which are the products with the sum of their vectors. Queries against both indexes, block by block.
+    """
+    names = decisions.select("strategy_name").distinct()
+    every = lambda d: d.join(F.broadcast(names), how="cross")  # strategies are a handful
+    old = before.select("entity_id", F.col("vector").alias("_old"))
+    done = decisions.select("strategy_name", "entity_id").distinct().withColumn("_done", F.lit(True))
+    mixed = every(after.join(old, "entity_id", "left")).join(done, ["strategy_name", "entity_id"], "left")
+    mixed = mixed.select("strategy_name", "entity_id", F.when(F.col("_done") | F.col("_old").isNull(), F.col("vector")).otherwise(F.coalesce("_old", "vector")).alias("vector"), F.col("vector").alias("_new"))
+    mixed = cut(mixed, "mixed")
+    one = lambda d: d.withColumn("part", F.lit(0))
+    best = cut(top_k(one(queries), one(after), "part", max(10, *ks)).select("query_id", "entity_id", F.col("position").alias("wanted")), "relevant")
+    asked = cut(every(queries.select("query_id", "vector")), "asked")
+    near = top_k(asked, mixed.select("strategy_name", "entity_id", "vector"), "strategy_name", max(10, *ks))
+    n = best.groupBy("query_id").agg(F.count("*").alias("_n"))
+    hit = near.join(best, ["query_id", "entity_id"])
+    got = hit.groupBy("strategy_name", "query_id").agg(
+        *[F.count_if((F.col("position") <= k) & (F.col("wanted") <= k)).alias(f"_h{k}") for k in ks], F.sum(F.when(F.col("wanted") <= 10, ndcg(F.col("position"), 10)).otherwise(0.0)).alias("_dcg")
+    )
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("_n"), F.lit(10)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    ten = every(best.where("wanted <= 10").select("query_id", "entity_id")).join(mixed.select("strategy_name", "entity_id", F.col("vector").alias("_v")), ["strategy_name", "entity_id"])
+    first = ten.join(asked, ["strategy_name", "query_id"]).groupBy("strategy_name", "query_id").agg(F.max(dot("vector", "_v")).alias("fresh"))
+    first = _above(asked.join(first, ["strategy_name", "query_id"]), mixed.select("strategy_name", "entity_id", "vector"), "strategy_name")
+    x = asked.select("strategy_name", "query_id").join(n, "query_id").join(got, ["strategy_name", "query_id"], "left").join(first, ["strategy_name", "query_id"], "left")
+    x = x.groupBy("strategy_name").agg(
+        *[F.avg(F.coalesce(f"_h{k}", F.lit(0)) / F.least(F.col("_n"), F.lit(k))).alias(f"recall_at_{k}") for k in ks], F.avg(F.coalesce(1 / (F.col("above") + 1), F.lit(0.0))).alias("mrr"), F.avg(F.coalesce("_dcg", F.lit(0.0)) / ideal).alias("ndcg_at_10")
+    )
+    total = queries.select(F.posexplode("vector").alias("i", "e")).groupBy("i").agg(F.sum(F.col("e").cast("double")).alias("e")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "e"))), lambda v: v["e"]).alias("_sum"))  # one row
+    scores = mixed.crossJoin(F.broadcast(total)).select("strategy_name", dot("_sum", "_new").alias("a"), dot("_sum", "vector").alias("b"))
+    size = mixed.join(done, ["strategy_name", "entity_id"], "left").groupBy("strategy_name").agg(F.count("*").alias("total_entities"))
+    cost = done.groupBy("strategy_name").agg(F.count("*").alias("entities_updated")).join(size, "strategy_name")
+    r = spearman(scores, ["strategy_name"], "a", "b").select("strategy_name", F.col("spearman").alias("rank_correlation"))
+    cost = cost.withColumn("update_percentage", 100.0 * F.col("entities_updated") / F.col("total_entities"))
+    return cost.select("strategy_name", "entities_updated", "total_entities", "update_percentage").join(x, "strategy_name").join(r, "strategy_name")

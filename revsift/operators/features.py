@@ -150,3 +150,27 @@ def pair_features(pairs: DataFrame, entities: DataFrame, edges: DataFrame, modif
     }
     x = x.withColumns(made)
     return x.select(*KEY, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURES])
+
+
+def drift_evolution(drifts: DataFrame) -> DataFrame:
+    """(pair, sm_mean_drift, sm_drift_variance, sm_drift_entropy, sm_high_drift_ratio) of drifts (pair, drift): the population
+    variance, the entropy of a histogram of at most 20 bins, and the share above twice the mean. Nulls and NaN don't count."""
+    d = cut(drifts.where("drift is not null and not isnan(drift)").select(*PAIR, "drift"), "drifts")
+    a = d.groupBy(*PAIR).agg(F.avg("drift").alias("sm_mean_drift"), F.var_pop("drift").alias("sm_drift_variance"), F.count("*").alias("_n"))
+    high = d.join(a, PAIR).groupBy(*PAIR).agg(F.avg((F.col("drift") > 2 * F.col("sm_mean_drift")).cast("double")).alias("_high"))
+    few = d.join(a.where("_n < 20"), PAIR).select(*PAIR, "drift", "_n")
+    wide = series.histogram_entropy(d, PAIR, "drift").select(*PAIR, F.col("entropy").alias("_wide"))
+    edge = few.groupBy(*PAIR, "_n").agg(F.min("drift").alias("_lo"), F.max("drift").alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo")) / F.col("_n")
+    cell = F.when(width > 0, F.least(F.floor((F.col("drift") - F.col("_lo")) / width), F.col("_n") - 1)).otherwise(0)
+    c = few.join(edge, [*PAIR, "_n"]).groupBy(*PAIR, "_n", cell.alias("_cell")).agg(F.count("*").alias("_c"))
+    narrow = c.groupBy(*PAIR).agg((-F.sum(F.col("_c") / F.col("_n") * F.log(F.col("_c") / F.col("_n")))).alias("_narrow"))
+    x = a.join(high, PAIR).join(wide, PAIR).join(narrow, PAIR, "left")
+    return x.select(*PAIR, "sm_mean_drift", "sm_drift_variance", F.when(F.col("_n") < 20, F.coalesce("_narrow", F.lit(0.0))).otherwise(F.col("_wide")).alias("sm_drift_entropy"), F.when(F.col("sm_mean_drift") > 0, F.col("_high")).otherwise(0.0).alias("sm_high_drift_ratio"))
+
+
+def anchored_pairs(state: DataFrame, entities: DataFrame, commit: str) -> DataFrame:
+    """(commit_before, commit_after, entity_id): a commit's entities against the version that each is cached at, which may be a
+    different commit for each; new ones and those of the same commit are left out."""
+    here = entities.where(F.col("commit_hash") == commit).select("entity_id")
+    return state.join(here, "entity_id").where(F.col("anchor_commit") != commit).select(F.col("anchor_commit").alias("commit_before"), F.lit(commit).alias("commit_after"), "entity_id").distinct()

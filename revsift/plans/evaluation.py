@@ -292,6 +292,26 @@ def nearest_to_queries(spark, d):
     return benchmark.top_k(q, v, "part", 5).select("query_id", "entity_id", F.round("score", 6).alias("score"), "position")
 
 
+@query()
+def evaluate_strategies(spark, d):
+    """Each strategy's index of fresh and cached vectors against the fresh one, asked by the query texts."""
+    c = load(spark, d, "embedding_comparisons").where(retrieval.usable(F.col("baseline_raw_vector")) & retrieval.usable(F.col("candidate_raw_vector")) & (F.size("baseline_raw_vector") == 64) & (F.size("candidate_raw_vector") == 64))
+    v = cut(c.groupBy("entity_id").agg(F.max(F.struct("comparison_id", "baseline_raw_vector", "candidate_raw_vector")).alias("r")), "vectors")
+    side = lambda n: v.select("entity_id", F.col(f"r.{n}").alias("vector"))
+    done = load(spark, d, "embedding_comparisons").where("status in ('modified', 'added') and strategy_name is not null").select("strategy_name", "entity_id").distinct().join(v, "entity_id", "left_semi")
+    q = load(spark, d, "query_cases").select("query_id", embedded(F.col("query_text"), 64).alias("vector")).dropDuplicates(["query_id"])
+    x = benchmark.evaluate_strategies(side("baseline_raw_vector"), side("candidate_raw_vector"), done, q)
+    return x.select("strategy_name", "entities_updated", "total_entities", *[F.round(n, 6).alias(n) for n in x.columns[3:]])
+
+
+@query(f"""WITH {reference._V}, x AS (SELECT commit_before, commit_after, 1 - cosine AS v FROM dr WHERE cosine IS NOT NULL AND commit_before IS NOT NULL), a AS (SELECT commit_before, commit_after, avg(v) AS m, var_pop(v) AS s FROM x GROUP BY ALL)
+SELECT commit_before, commit_after, round(any_value(m), 6) AS mean_drift, round(any_value(s), 6) AS drift_variance, round(avg((v > 2 * m)::INT), 6) AS high_drift_ratio FROM x JOIN a USING (commit_before, commit_after) GROUP BY ALL""")
+def drift_evolution(spark, d):
+    x = retrieval.drifts(load(spark, d, "embedding_comparisons")).where("commit_before is not null")
+    x = features.drift_evolution(x)
+    return x.select("commit_before", "commit_after", F.round("sm_mean_drift", 6).alias("mean_drift"), F.round("sm_drift_variance", 6).alias("drift_variance"), F.round("sm_high_drift_ratio", 6).alias("high_drift_ratio"))
+
+
 # ---- query sets
 
 

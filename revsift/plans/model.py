@@ -145,3 +145,43 @@ def restore(spark, path: str) -> tuple[PipelineModel, list[str], float]:
     """(model, features, threshold) as saved; a missing path raises."""
     about = spark.read.json(f"{path}/about").first()
     return PipelineModel.load(f"{path}/model"), list(about["names"]), about["threshold"]
+
+
+def scores_by_anchor(model: PipelineModel, names: list[str], state: DataFrame, entities: DataFrame, edges: DataFrame, order: DataFrame, commit: str) -> DataFrame:
+    """(entity_id, score) of a commit's entities, each by the features against the commit that it is cached at (state: entity_id,
+    anchor_commit). New entities and those cached at this commit score 0. All anchors in one plan: a pair of commits for each."""
+    from revsift.operators import features, staleness
+
+    own = cut(features.anchored_pairs(state, entities, commit), "anchored")
+    pairs = cut(own.select("commit_before", "commit_after").distinct(), "pairs")
+    modified = staleness.changed_entities(entities, pairs)
+    x = features.pair_features(pairs, entities, edges, modified, order).join(own, features.KEY, "left_semi")
+    s = scored(model, x, names).select("entity_id", "score")
+    here = entities.where(F.col("commit_hash") == commit).select("entity_id").distinct()
+    return here.join(s, "entity_id", "left").select("entity_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def newest(spark: SparkSession, base: str) -> str:
+    """The folder below base that a model was last saved in; none is an error."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/*/about")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
+    if not len(found):
+        raise FileNotFoundError(f"no model below {base}")
+    return max(found, key=lambda f: (f.getModificationTime(), f.getPath().toString())).getPath().getParent().toString()
+
+
+def ingestion_pipeline(files: DataFrame, model: PipelineModel | None, names: list[str], modified: DataFrame, commit: str, before: DataFrame | None = None, threshold: float = 0.02) -> DataFrame:
+    """Rows to ingest of files (commit_hash, file_path, content): parsed, with their calls, and kept if they were modified
+    (entity_id) or their score against the commit before them reaches the threshold. before (commit_before, commit_after)."""
+    from revsift.functions import code
+    from revsift.operators import features, staleness
+
+    e = cut(code.parse_entities(files), "entities")
+    calls = cut(code.call_edges(e, code.imports(files)), "calls")
+    nodes = staleness.ingestion_rows(e, calls).where(F.col("commit_hash") == commit)
+    scores = e.select(F.col("entity_id").alias("id"), F.lit(0.0).alias("score")).where("false")
+    if model is not None and before is not None:
+        m = before.join(modified.select("entity_id"), how="cross") if before.limit(2).count() == 1 else modified  # one pair
+        x = features.pair_features(before, e, calls, m, before.withColumn("seq", F.lit(0)))
+        scores = scored(model, x, names).select(F.col("entity_id").alias("id"), "score")
+    return staleness.kept_nodes(nodes, scores, modified.select(F.col("entity_id").alias("id")), threshold)
