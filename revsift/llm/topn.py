@@ -7,13 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revsift.common import cut, partitions
+from revsift.functions.text import bound
 
-#: Length of a ranking up to which it is cut to its own best before it is moved.
-ROW = 500
 
 def _ranks(n: int, keys: list[str], out: list[str]):
     """Over a sorted partition: rows with their place in the group within it, as far as n. edge: the group is the first or
@@ -88,10 +87,15 @@ def top_ranked(results: DataFrame, n: int = 10) -> DataFrame:
     shorter list counts for nothing, and so do null and empty lists.
 
     Of a ranking only its own n best ids are moved, each with its best score: what n others of one row surpass can't be
-    among the group's n best. Rankings longer than ROW are moved whole, as looking for repeats takes quadratic time.
+    among the group's n best. Repeats are next to each other in a list sorted by id, so a ranking of any length is cut in
+    the time that its sort takes.
     """
     usable = "filter(arrays_zip(ranked_entity_ids, ranked_scores), e -> e.ranked_entity_ids is not null and not isnan(coalesce(e.ranked_scores, double('NaN'))))"
-    x = results.select("run_id", "query_id", F.expr(f"sort_array(transform({usable}, e -> struct(-double(e.ranked_scores) as low, e.ranked_entity_ids as entity_id)))").alias("e"))
-    first = F.filter("e", lambda v, i: F.array_position(F.col("e.entity_id"), v["entity_id"]) == i + 1)
-    x = x.select("run_id", "query_id", F.explode(F.when(F.size("e") <= ROW, F.slice(first, 1, n)).otherwise(F.col("e"))).alias("e"))
+    by_id = F.expr(f"sort_array(transform({usable}, e -> struct(e.ranked_entity_ids as entity_id, -double(e.ranked_scores) as low)))")
+
+    def own(e: Column) -> Column:
+        first = F.filter(e, lambda v, i: (i == 0) | (F.get(e, i - 1)["entity_id"] != v["entity_id"]))
+        return F.slice(F.sort_array(F.transform(first, lambda v: F.struct(v["low"].alias("low"), v["entity_id"].alias("entity_id")))), 1, n)
+
+    x = results.select("run_id", "query_id", F.explode(bound(by_id, own)).alias("e"))
     return top_n(x.select("run_id", "query_id", F.col("e.entity_id").alias("entity_id"), (-F.col("e.low")).alias("score")), ["run_id", "query_id"], "entity_id", "score", n)
