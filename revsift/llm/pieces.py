@@ -14,8 +14,9 @@ LIMIT, OVERLAP = 2000, 200
 def boundary_pattern(most: int) -> str:
     """Takes up to `most` characters, up to the end of the text or the strongest boundary there is.
 
-    In order: before a definition or a blank line in the last third, else after any line, after a statement, at a blank in
-    the last half, at any character. All quantifiers are bounded and stand on single characters, so matching never nests.
+    In order: before a definition or a blank line in the last third, after a line in the last half, after a statement there,
+    else after any line, any statement, at a blank in the last half, at any character. So a line that is short before a very
+    long one is a step of its own only where nothing in reach is nearer to the limit. All quantifiers are bounded and stand on single characters, so matching never nests.
     """
     third, half = most * 2 // 3, most // 2
     end = r"(?:\r\n|\r(?!\n)|\n)"  # \R could match the first half of a line end
@@ -23,6 +24,8 @@ def boundary_pattern(most: int) -> str:
         rf"(?s).{{1,{most}}}\z"
         rf"|.{{{third},{most - 2}}}{end}(?=[ \t]*(?:@\w|(?:async[ \t]+)?def\s|class\s))"
         rf"|.{{{third},{most - 2}}}{end}(?=[ \t]*{end})"
+        rf"|.{{{half},{most - 2}}}{end}"
+        rf"|.{{{half},{most - 2}}};[ \t]?"
         rf"|.{{0,{most - 2}}}{end}"
         rf"|.{{0,{most - 2}}};[ \t]?"
         rf"|.{{{half},{most - 1}}}\s"
