@@ -139,8 +139,9 @@ def _parse(source: pd.Series, entity_id: pd.Series, entity_type: pd.Series) -> p
         if kind == "class":
             out.append((kind, False, False, None, bases))
         else:
-            inherits = doc is not None and bool(_INHERITS.search(doc))
-            good = kind == "function" and doc is not None and not inherits and not trivial(doc, i.rpartition("::")[2])
+            # a reference to the parent's documentation is none of one's own unless it says more than that
+            good = kind == "function" and doc is not None and not trivial(doc, i.rpartition("::")[2])
+            inherits = doc is not None and bool(_INHERITS.search(doc)) and (not good or trivial(_INHERITS.sub("", doc), i.rpartition("::")[2]))
             out.append((kind, good, inherits, inspect.cleandoc(doc) if good else None, None))
     return pd.DataFrame(out, columns=["kind", "documented", "inherits", "doc", "bases"])
 
@@ -152,10 +153,13 @@ def _tags(doc: pd.Series) -> pd.Series:
 def documented_functions(entities: DataFrame, with_source: bool = True) -> DataFrame:
     """Current functions and methods with a real documentation string, own or inherited.
 
-    (commit_hash, entity_id, description, summary, tags, origin, inherited_from) and with_source name and source_code.
+    (commit_hash, entity_id, description, summary, tags, origin, inherited_from, own) and with_source name and source_code.
     origin is own, or inherited where a method has none (or a mere reference to its parent's) and the nearest class up its
     hierarchy in the same snapshot documents a method of that name: base classes are resolved by name, first within the
     file, and overridden methods are joined level by level until no method is left that still has a class above it.
+    own: the function's own string is no trivial text. Such a one that is a reference and little else gives way to what it
+    inherits, and stands where there is nothing to inherit. A base that is several classes of the snapshot is the smallest
+    id other than the class itself (or else the greatest).
     What stays without documentation is dropped. Cyclic hierarchies end at the class where they close.
 
     Rows with a null commit, id or source are dropped; a null entity_type is judged by the source. Rows of one key with
@@ -170,29 +174,37 @@ def documented_functions(entities: DataFrame, with_source: bool = True) -> DataF
     owner = F.regexp_extract("entity_id", r"(?s)^(.*)::[^:]*\z", 1)
     last = F.regexp_extract("entity_id", r"([^:]*)\z", 1)
     file = F.regexp_extract("entity_id", r"(?s)^(.*?)::", 1)
-    own = rows.where("kind = 'function' and documented").select("commit_hash", "entity_id", F.col("doc").alias("description"), F.lit("own").alias("origin"), F.lit(None).cast("string").alias("inherited_from"))
+    own = rows.where("kind = 'function' and documented").select("commit_hash", "entity_id", F.col("doc").alias("description"), F.lit("own").alias("origin"), F.lit(None).cast("string").alias("inherited_from"), F.lit(True).alias("own"))
 
-    classes = rows.where("kind = 'class'").select("commit_hash", F.col("entity_id").alias("class_id"), last.alias("class_name"), file.alias("class_file"))
+    # one class for each base: of its file, else of the snapshot; each step is a join on a unique key, however common a name
+    classes = rows.where("kind = 'class'").select("commit_hash", F.col("entity_id").alias("class_id"), last.alias("class_name"), file.alias("file"))
     wanted = rows.where("kind = 'class' and size(bases) > 0").select("commit_hash", F.col("entity_id").alias("at"), file.alias("file"), F.posexplode("bases").alias("pos", "class_name"))
-    above = wanted.join(classes, ["commit_hash", "class_name"]).where("class_id <> at").groupBy("commit_hash", "at", "pos").agg(F.min(F.struct(F.col("file") != F.col("class_file"), "class_id"))["class_id"].alias("above"))
-    above = cut(above, "hierarchy")
+    ends = lambda by, n: classes.groupBy("commit_hash", *by, "class_name").agg(F.min("class_id").alias(f"lo{n}"), F.max("class_id").alias(f"hi{n}"))
+    other = lambda n: F.when(F.col(f"lo{n}") != F.col("at"), F.col(f"lo{n}")).when(F.col(f"hi{n}") != F.col("at"), F.col(f"hi{n}"))
+    above = wanted.join(ends(["file"], 0), ["commit_hash", "file", "class_name"], "left").join(ends([], 1), ["commit_hash", "class_name"], "left")
+    above = cut(above.select("commit_hash", "at", "pos", F.coalesce(other(0), other(1)).alias("above")).where("above is not null"), "hierarchy")
     found = own
     if not above.isEmpty():
-        named = rows.where("kind = 'function' and documented").select("commit_hash", owner.alias("above"), last.alias("method"), "doc", F.col("entity_id").alias("from_id"))
-        left = rows.where("kind = 'function' and not documented").select("commit_hash", "entity_id", owner.alias("at"), last.alias("method")).where("at <> ''")
+        named = rows.where("kind = 'function' and documented and not inherits").select("commit_hash", owner.alias("above"), last.alias("method"), "doc", F.col("entity_id").alias("from_id"))
+        left = rows.where("kind = 'function' and (inherits or not documented)").select("commit_hash", "entity_id", owner.alias("at"), last.alias("method")).where("at <> ''")
         left = left.join(above.select("commit_hash", "at").distinct(), ["commit_hash", "at"], "left_semi").withColumn("seen", F.array("at")).withColumn("way", F.array().cast("array<int>"))
-        left = cut(left, "unresolved")
+        left, hits = cut(left, "unresolved"), None
         while not left.isEmpty():
             up = left.join(above, ["commit_hash", "at"]).where("not array_contains(seen, above)").withColumn("way", F.concat("way", F.array("pos"))).drop("at", "pos")
+            # of the ways to one class only the first goes on, so a diamond doesn't double the rows at each level
+            up = up.groupBy("commit_hash", "entity_id", "method", "above").agg(F.min(F.struct("way", "seen")).alias("w")).select("commit_hash", "entity_id", "method", "above", "w.way", "w.seen")
             up = cut(up.join(named, ["commit_hash", "above", "method"], "left"), "level")
             hit = up.where("from_id is not null").groupBy("commit_hash", "entity_id").agg(F.min(F.struct("way", "from_id", "doc")).alias("h"))
             hit = cut(hit.select("commit_hash", "entity_id", F.col("h.doc").alias("description"), F.lit("inherited").alias("origin"), F.col("h.from_id").alias("inherited_from")), "inherited")
-            found = found.unionByName(hit)
+            hits = hit if hits is None else hits.unionByName(hit)
             left = up.where("from_id is null").join(hit, ["commit_hash", "entity_id"], "left_anti").select("commit_hash", "entity_id", "method", F.col("above").alias("at"), F.concat("seen", F.array("above")).alias("seen"), "way")
             left = cut(left, "unresolved")
+        if hits is not None:
+            hits = hits.join(own.select("commit_hash", "entity_id", "own"), ["commit_hash", "entity_id"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+            found = own.join(hits.select("commit_hash", "entity_id"), ["commit_hash", "entity_id"], "left_anti").unionByName(hits)
 
     tags = F.pandas_udf(_tags, "array<string>")
-    found = found.select("commit_hash", "entity_id", "description", F.split("description", r"\R[ \t]*\R", 2)[0].alias("summary"), tags("description").alias("tags"), "origin", "inherited_from")
+    found = found.select("commit_hash", "entity_id", "description", F.split("description", r"\R[ \t]*\R", 2)[0].alias("summary"), tags("description").alias("tags"), "origin", "inherited_from", "own")
     if with_source:
         source = current_rows(entities.select("commit_hash", "entity_id", "ingested_at", "name", "source_code"), ["commit_hash", "entity_id"], "ingested_at", ["name", "source_code"])
         found = found.join(source, ["commit_hash", "entity_id"])

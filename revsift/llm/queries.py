@@ -17,7 +17,7 @@ from revsift.llm.vectors import similar_comparisons
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return documented_functions(load(spark, d, "entities"), with_source=False).where("origin = 'own'").select("commit_hash", "entity_id")
+    return documented_functions(load(spark, d, "entities"), with_source=False).where("own").select("commit_hash", "entity_id")
 
 
 def p1_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -73,3 +73,19 @@ def test_operator(spark):
     assert (leaf["origin"], leaf["inherited_from"], leaf["description"]) == ("inherited", "b.py::Base::run", REAL)
     assert got["c", "a.py::f"]["origin"] == "own" and got["c", "a.py::f"]["source_code"].startswith("def f") and got["c", "a.py::f"]["name"] == "f"
     assert documented_functions(table(spark, [])).count() == 0
+
+
+def test_references_diamonds_and_common_names(spark):
+    rows = [("c", "a.py::Top", "class", "class Top: pass", T), ("c", "a.py::Top::run", "method", f'def run(self):\n    "{REAL}"', T)]
+    names = ["Top"]
+    for i in range(12):  # a diamond on each level: 4,096 ways up
+        low = [f"L{i}", f"R{i}"]
+        rows += [("c", f"a.py::{n}", "class", f"class {n}({', '.join(names)}): pass", T) for n in low]
+        names = low
+    rows += [("c", "a.py::Leaf", "class", f"class Leaf({', '.join(names)}): pass", T), ("c", "a.py::Leaf::run", "method", "def run(self):\n    'See the base class.'", T)]
+    rows += [("c", "a.py::Lone::run", "method", "def run(self):\n    'See the base class.'", T)]
+    rows += [("c", f"m{i}.py::Meta", "class", "class Meta(Meta): pass", T) for i in range(40)] + [("c", f"m{i}.py::Meta::go", "method", "def go(self): pass", T) for i in range(40)]
+    got = {r["entity_id"]: r for r in documented_functions(table(spark, rows)).collect()}
+    assert set(got) == {"a.py::Top::run", "a.py::Leaf::run", "a.py::Lone::run"}
+    assert (got["a.py::Leaf::run"]["description"], got["a.py::Leaf::run"]["own"]) == (REAL, True)  # inherited, and own by its three words
+    assert (got["a.py::Lone::run"]["description"], got["a.py::Lone::run"]["origin"]) == ("See the base class.", "own")
