@@ -22,6 +22,8 @@ WINDOW = 12
 LITERAL = 6
 #: Windows of evaluation texts up to which their hashes go to every task; beyond, all windows of the corpus are joined.
 MOST_HASHES = 2_000_000
+#: Words of identifiers up to which they go to every task; beyond, each text is joined with those that it holds.
+MOST_NAMES = 100_000
 #: Words for numbers and units, fixed values.
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million billion".split())
 UNITS = frozenset("ms sec secs second seconds min mins minute minutes hour hours day days week weeks month months year years byte bytes kb mb gb tb kib mib gib percent mm cm km meter meters metre metres mile miles kg mg gram grams dollar dollars euro euros".split())
@@ -119,13 +121,34 @@ class _Hasher:
             return (total[size:] - total[:-size]) * back + np.uint64(size)
 
 
-def _case_windows(names: frozenset[str], size: int, merged: bool = False):
+def _hashers(names: frozenset[str] | None):
+    """The hasher of a text: one for all, or one by the text's own names."""
+    one = None if names is None else _Hasher(names)
+    return lambda own: one if one is not None else _Hasher(frozenset(own if own is not None else ()))
+
+
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [sorted(set(words(t))) for t in b.column("text").to_pylist()]
+        rows = np.repeat(b.column("_row").to_numpy(), [len(w) for w in found])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([x for w in found for x in w], pa.string())], names=["_row", "w"])
+
+
+def _named(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """texts (.., text) with names, those of their words that are in names (w). A row holds no more than its text does."""
+    x = cut(texts.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    held = x.select("_row", "text").mapInArrow(_words_of, "_row long, w string").join(names, "w").groupBy("_row").agg(F.collect_set("w").alias("names"))
+    return x.join(held, "_row", "left").drop("_row")
+
+
+def _case_windows(names: frozenset[str] | None, size: int, merged: bool = False):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = _Hasher(names)
+        hashers = _hashers(names)
         for p in batches:
             rows = []
-            for q, text in zip(p["query_id"], p["query_text"]):
-                w = template(text, names) if merged else words(text)
+            for q, text, own in zip(p["query_id"], p["text"], p["names"]):
+                hasher = hashers(own)
+                w = template(text, hasher.names) if merged else words(text)
                 if w:
                     n = min(size, len(w))
                     rows += [(q, n, int(np.uint64(x).view(np.int64)), " ".join(w[i : i + n])) for i, x in enumerate(_Hasher.windows(hasher.of(w), n))]
@@ -134,13 +157,14 @@ def _case_windows(names: frozenset[str], size: int, merged: bool = False):
     return run
 
 
-def _text_windows(names: frozenset[str], lengths: list[int], hashes: np.ndarray | None, merged: bool = False):
+def _text_windows(names: frozenset[str] | None, lengths: list[int], hashes: np.ndarray | None, merged: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Hasher(names)
+        hashers = _hashers(names)
         for b in batches:
             doc, size, mark, passage = [], [], [], []
-            for i, t in zip(b.column("doc_id"), b.column("text")):
-                w = template(t.as_py(), names) if merged else words(t.as_py())
+            for i, t, own in zip(b.column("doc_id"), b.column("text"), b.column("names")):
+                hasher = hashers(own.as_py())
+                w = template(t.as_py(), hasher.names) if merged else words(t.as_py())
                 h = hasher.of(w)
                 for n in lengths:
                     x = _Hasher.windows(h, n).view(np.int64)
@@ -161,15 +185,17 @@ def _text_windows(names: frozenset[str], lengths: list[int], hashes: np.ndarray
     return run
 
 
-def _consistent(names: frozenset[str]):
-    """Whether two windows agree in all plain words and their slots map one to one."""
+def _consistent(names: frozenset[str] | None):
+    """Whether two windows agree in all plain words and their slots map one to one. Without names for all, each side's own."""
 
-    def same(a: pd.Series, b: pd.Series) -> pd.Series:
+    def same(a: pd.Series, b: pd.Series, of_a: pd.Series, of_b: pd.Series) -> pd.Series:
         out = []
-        for x, y in zip(a, b):
+        for x, y, own, other in zip(a, b, of_a, of_b):
             there, back, plain, good = {}, {}, 0, True
+            one = names if names is not None else frozenset(own if own is not None else ())
+            two = names if names is not None else frozenset(other if other is not None else ())
             for v, w in zip(x.split(" "), y.split(" ")):
-                s, t = (v[: v.find(">") + 1] or slot(v, names), w[: w.find(">") + 1] or slot(w, names))
+                s, t = (v[: v.find(">") + 1] or slot(v, one), w[: w.find(">") + 1] or slot(w, two))
                 if s != t or (s is None and v != w) or (s is not None and (there.setdefault(v, w) != w or back.setdefault(w, v) != v)):
                     good = False
                     break
@@ -180,8 +206,8 @@ def _consistent(names: frozenset[str]):
     return same
 
 
-def _joined(docs: DataFrame, texts: DataFrame, names: frozenset[str], window: int, merged: bool) -> DataFrame:
-    """(doc_id, query_id, n, passage, asked, verbatim): windows of both sides that have the same hash."""
+def _joined(docs: DataFrame, texts: DataFrame, names: frozenset[str] | None, known: DataFrame, window: int, merged: bool) -> DataFrame:
+    """(doc_id, query_id, n, passage, asked, verbatim, consistent): windows of both sides that have the same hash."""
     wanted = cut(texts.mapInPandas(_case_windows(names, window, merged), "query_id string, n int, hash long, passage string").distinct(), "case-windows")
     lengths = sorted(r[0] for r in wanted.select("n").distinct().collect())  # at most `window` of them
     marks = wanted.select("hash").distinct().limit(MOST_HASHES + 1)
@@ -190,7 +216,14 @@ def _joined(docs: DataFrame, texts: DataFrame, names: frozenset[str], window: in
     held = docs.mapInArrow(_text_windows(names, lengths, hashes, merged), "doc_id long, n int, hash long, passage string")
     both = held.join(small(wanted.withColumnRenamed("passage", "asked")), ["n", "hash"])
     same = F.col("passage") == F.col("asked")
-    return cut(both.select("doc_id", "query_id", "n", "passage", "asked", same.alias("verbatim")).distinct(), "leaks")
+    both = cut(both.select("doc_id", "query_id", "n", "passage", "asked", same.alias("verbatim")).distinct(), "leaks")
+    if names is not None:
+        none = F.lit(None).cast("array<string>")
+        return both.withColumn("consistent", F.pandas_udf(_consistent(names), "boolean")("asked", "passage", none, none))
+    for side in ("asked", "passage"):
+        of = _named(both.select(F.col(side).alias("text")).distinct(), known)
+        both = both.join(of.select(F.col("text").alias(side), F.col("names").alias(f"{side}_names")), side, "left")
+    return both.withColumn("consistent", F.pandas_udf(_consistent(None), "boolean")("asked", "passage", "asked_names", "passage_names"))
 
 
 def leaked_cases(documents: DataFrame, cases: DataFrame, window: int = WINDOW, merged: bool = False) -> DataFrame:
@@ -204,20 +237,21 @@ def leaked_cases(documents: DataFrame, cases: DataFrame, window: int = WINDOW, m
     With `merged`, windows of `template` are joined as well: names are also told by form, slots of any number of words match,
     and texts shorter than a window are tried with other slots. Their windows are counted too.
 
-    The evaluation set's window hashes go to every task if they are few (checked), and only windows of the corpus with
-    such a hash leave their task; otherwise all windows are joined by a shuffle. Null or empty texts on either side give
+    The evaluation set's window hashes and names go to every task if they are few (checked), and only windows of the corpus
+    with such a hash leave their task; otherwise all windows, or all words, are joined by a shuffle, with the same result. Null or empty texts on either side give
     nothing; a repeated row counts once, and texts under several ids are reported for each.
     """
-    names = cases.select(F.explode(F.split(F.lower(F.concat_ws(" ", "target_entity_id", "target_entity_name", "file_path")), r"[^\p{L}\p{N}]+")).alias("w")).where("length(w) > 2").distinct().limit(MOST_HASHES // 20)
-    names = frozenset(r[0] for r in names.collect())
-    texts = cases.select(F.col("query_id").cast("string").alias("query_id"), "query_text").where("query_id is not null and length(query_text) > 0").distinct()
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and length(text) > 0")
-    both = _joined(docs, texts, names, window, False)
+    known = cut(cases.select(F.explode(F.split(F.lower(F.concat_ws(" ", "target_entity_id", "target_entity_name", "file_path")), r"[^\p{L}\p{N}]+")).alias("w")).where("length(w) > 2").distinct(), "names")
+    few = known.limit(MOST_NAMES + 1).count() <= MOST_NAMES
+    names = frozenset(r[0] for r in known.collect()) if few else None
+    own = (lambda d: d.withColumn("names", F.lit(None).cast("array<string>"))) if few else (lambda d: _named(d, known))
+    texts = own(cases.select(F.col("query_id").cast("string").alias("query_id"), F.col("query_text").alias("text")).where("query_id is not null and length(text) > 0").distinct())
+    docs = own(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and length(text) > 0"))
+    both = _joined(docs, texts, names, known, window, False)
     exact = both.where("verbatim").select("doc_id", "query_id", "verbatim", "passage")
-    consistent = F.pandas_udf(_consistent(names), "boolean")("asked", "passage")
-    other = both.where(f"not verbatim and n = {window}").where(consistent).select("doc_id", "query_id", "verbatim", "passage")
+    other = both.where(f"not verbatim and n = {window}").where("consistent").select("doc_id", "query_id", "verbatim", "passage")
     if merged:
-        more = _joined(docs, texts, names, window, True).where("not verbatim").where(consistent)
+        more = _joined(docs, texts, names, known, window, True).where("not verbatim").where("consistent")
         plain = F.translate(F.regexp_replace("passage", "<[a-z]+>", ""), "_", " ")
         other = other.unionByName(more.select("doc_id", "query_id", "verbatim", plain.alias("passage")))
     return exact.unionByName(other).groupBy("doc_id", "query_id").agg(F.max("verbatim").alias("verbatim"), F.countDistinct("passage").alias("windows"))

@@ -1,10 +1,15 @@
+import pytest
+
+from revsift.llm import leaks
 from revsift.llm.queries import p8_leaks
 
 LONG = "How does the function load_config in our service retry after 7 seconds when the remote answer is missing"
 SHORT = "Where does Parser check that the input ends"
 
 
-def test_slots_of_other_words_and_numbers(spark, tmp_path):
+@pytest.mark.parametrize("most", [leaks.MOST_NAMES, 2])
+def test_slots_of_other_words_and_numbers(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(leaks, "MOST_NAMES", most)  # each text with its own names beyond
     docs = [
         (1, "x " + LONG.replace("load_config", "parse_settings_file").replace("7", "3.14")),
         (2, "so: " + SHORT.replace("Parser", "Lexer") + " or not"),
