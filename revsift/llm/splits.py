@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revsift.common import cut, small
+from revsift.common import cut, partitions, small
 from revsift.functions.text import commit_key
 from revsift.operators.graph import components
 
@@ -81,8 +81,8 @@ def _chain(sizes: np.ndarray, key: np.ndarray, share: np.ndarray, chain: int) ->
     return at, _deviation(mass, want)
 
 
-def _annealed(group: DataFrame, cols: list[str], share: np.ndarray, grain: np.ndarray | None = None) -> DataFrame:
-    """(g, at): the split of each group (g, h, block, cols), every block by its best chain. Chains are tasks of their own.
+def _annealed(group: DataFrame, cols: list[str], share: np.ndarray, blocks: int, grain: np.ndarray | None = None) -> DataFrame:
+    """(g, at): the split of each group (g, h, block, cols), each of so many blocks by its best chain. Chains are tasks of their own.
 
     grain: sizes of each of GRAINS further groups that have no rows here."""
 
@@ -94,7 +94,7 @@ def _annealed(group: DataFrame, cols: list[str], share: np.ndarray, grain: np.nd
         at, off = _chain(sizes, key, share, int(p["chain"].iloc[0]))
         return pd.DataFrame({"block": p["block"], "chain": p["chain"], "g": p["g"], "at": at[: len(p)].astype(np.int32), "off": off})
 
-    tried = group.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(CHAINS - 1)))).groupBy("block", "chain").applyInPandas(run, "block long, chain int, g string, at int, off double")
+    tried = group.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(CHAINS - 1)))).repartition(min(blocks * CHAINS, 64 * partitions(group.sparkSession)), "block", "chain").groupBy("block", "chain").applyInPandas(run, "block long, chain int, g string, at int, off double")
     return cut(tried, "chains").groupBy("g").agg(F.min_by("at", F.struct("off", "chain")).alias("at"))
 
 
@@ -144,14 +144,14 @@ def grouped_splits(rows: DataFrame, targets: DataFrame, row_id: str = "row_id",
         big = group.where(heavy)
         mass = np.array([float(v or 0) for v in big.agg(*[F.sum(c) for c in cols]).first()])
         # the light groups fill what is left, so the heavy ones need only stay below their shares
-        first = cut(_annealed(big.select("g", "h", F.lit(-1).cast("long").alias("block"), *cols), cols, share, (all_ - mass) / GRAINS), "heavy")
+        first = cut(_annealed(big.select("g", "h", F.lit(-1).cast("long").alias("block"), *cols), cols, share, 1, (all_ - mass) / GRAINS), "heavy")
         taken = np.zeros(len(share))
         for r in first.join(big, "g").groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row for each split
             taken[r["at"]] = r["n"]
         left = np.maximum(share * all_[0] - taken, 0)
         left = left / left.sum() if left.sum() > 0 else share
-        block = F.expr(f"pmod(h, {max(1, -(-int(total[0]) // BLOCK))})")
-        rest = _annealed(group.where(~heavy).select("g", "h", block.alias("block"), *cols), cols, left)
+        blocks = max(1, -(-int(total[0]) // BLOCK))
+        rest = _annealed(group.where(~heavy).select("g", "h", F.expr(f"pmod(h, {blocks})").alias("block"), *cols), cols, left, blocks)
         name = F.element_at(F.array(*[F.lit(v) for v in names]), F.col("at") + 1)
         placed = group.join(first.unionByName(rest), "g").select("g", "group_row_id", name.alias("split_name"))
     else:
