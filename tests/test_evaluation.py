@@ -152,3 +152,43 @@ def test_descriptors(spark):
     split = {r["commit_hash"]: r["part"] for r in series.stratified_split(d, ["one", "two"], clusters=2).collect()}
     assert set(split) == set(got) and {"train", "test"} == set(split.values())
     assert series.state_descriptors(m.limit(1), {"one": ["up", "flat"]}).first()["one"] == 0.0
+
+
+def test_strategies_on_mixed_indexes(spark):
+    rng = np.random.default_rng(8)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.standard_normal((n, 6)))
+    old, new, q = unit(25), unit(25), unit(9)
+    frame = lambda x, key: spark.createDataFrame([(f"{i:02}", v.tolist()) for i, v in enumerate(x)], f"{key} string, vector array<double>")
+    decided = [("all", f"{i:02}") for i in range(25)] + [("some", f"{i:02}") for i in range(12)]
+    got = {r[0]: r for r in benchmark.evaluate_strategies(frame(old, "entity_id").where("entity_id <> '24'"), frame(new, "entity_id"), spark.createDataFrame(decided, "strategy_name string, entity_id string"), frame(q, "query_id")).collect()}
+    r = got["all"]
+    assert (r["entities_updated"], r["update_percentage"], r["recall_at_5"], r["mrr"], r["ndcg_at_10"], round(r["rank_correlation"], 9)) == (25, 100.0, 1.0, 1.0, 1.0, 1.0)
+    mixed = np.vstack([new[:12], old[12:24], new[24:]])  # what was not cached is fresh
+    recall, mrr, gain = [], [], []
+    for v in q:
+        best, mine = np.argsort(-(new @ v)), np.argsort(-(mixed @ v))
+        recall.append(len(set(best[:5]) & set(mine[:5])) / 5)
+        ranks = [i + 1 for i, e in enumerate(mine) if e in best[:10]]
+        mrr.append(1 / ranks[0])
+        gain.append(sum(1 / log2(k + 1) for k in ranks if k <= 10) / sum(1 / log2(k + 1) for k in range(1, 11)))
+    r = got["some"]
+    assert np.allclose([r["recall_at_5"], r["mrr"], r["ndcg_at_10"], r["update_percentage"]], [np.mean(recall), np.mean(mrr), np.mean(gain), 48.0])
+
+
+def test_scores_against_each_anchor(spark):
+    from revsift.plans.model import ingestion_pipeline, scores_by_anchor, train
+
+    e = code_rows(spark, {"a": {"m.py::f": "def f(): pass", "m.py::g": "def g(): pass"}, "b": {"m.py::f": "def f(): f2()", "m.py::g": "def g(): pass"}, "c": {"m.py::f": "def f(): f2()", "m.py::g": "def g(): pass", "m.py::new": "def new(): pass"}})
+    edges = spark.createDataFrame([], "commit_hash string, src string, dst string")
+    order = spark.createDataFrame([("a", "c", 1), ("b", "c", 1)], "commit_before string, commit_after string, seq long")
+    rows = spark.createDataFrame([(float(i % 2), bool(i % 2)) for i in range(20)], "is_modified double, y boolean")
+    model = train(rows, ["is_modified"], "y")
+    state = spark.createDataFrame([("m.py::f", "a"), ("m.py::g", "b")], "entity_id string, anchor_commit string")
+    got = {r[0]: r[1] for r in scores_by_anchor(model, ["is_modified"], state, e, edges, order, "c").collect()}
+    assert got["m.py::f"] > 0.5 > got["m.py::g"] > 0 and got["m.py::new"] == 0.0
+    late = spark.createDataFrame([("m.py::f", "b"), ("m.py::g", "c")], "entity_id string, anchor_commit string")
+    got = {r[0]: r[1] for r in scores_by_anchor(model, ["is_modified"], late, e, edges, order, "c").collect()}
+    assert got["m.py::f"] < 0.5 and got["m.py::g"] == 0.0
+    files = spark.createDataFrame([("c", "m.py", "def f():\n    g()\n\ndef g():\n    pass\n")], "commit_hash string, file_path string, content string")
+    kept = ingestion_pipeline(files, None, [], spark.createDataFrame([("m.py::f",)], "entity_id string"), "c").collect()
+    assert [(r["id"], r["metadata"]["callees"]) for r in kept] == [("m.py::f", ["m.py::g"])]
