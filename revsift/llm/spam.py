@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from hashlib import blake2b
 from uuid import uuid4
@@ -17,9 +18,11 @@ from revsift.common import cut, dataset, partitions, qualified, shared_dir, smal
 
 #: Bytes of texts whose words and pairs are counted, and scored, together.
 CHUNK_BYTES = 16 << 20
-#: Mean pointwise mutual information (bits, of pairs elsewhere in the corpus) below which a line of 5 words is a salad,
-#: a line with links no description, a repeated one no sentence, and a line with an article number no sentence.
-SALAD, DESCRIBED, REPEATED, PRODUCT = 1.3, 1.5, 3.3, 2.4
+#: A line is judged by its information from so many words on, and counts for so many at most when lines are counted by it. Bins of a line's mean information, in bits, and beyond
+#: which no line is a salad whatever the corpus.
+LINE, WEIGHT, BINS, MOST_BITS = 5, 50, np.arange(-8, 10.01, 0.25), 3.5
+#: What is added to a pair's count and to the count that chance would give it.
+PRIOR = 0.5
 #: A collocation is repeated if it occurs so often in the page and at so many times its rate elsewhere; dominant, if it
 #: also makes up this share of the page's pairs.
 TIMES, LIFT, DOMINANT, DOMINANT_LIFT = 3, 100.0, 0.03, 300.0
@@ -28,50 +31,44 @@ FEW, EACH = 6, 3
 #: Share of a page's words in such lines that makes it spam, and the fewest words that a page is judged by.
 SHARE, FEWEST = 0.5, 12
 
-_LINK = re.compile(r"""(?:https?://|www\.)[^\s"'<>|)\]]+|<a\b[^<>]*>|</a>""")
-_DOMAIN = re.compile(r"(?m)^[ \t]*(?:[\w-]+\.)+[a-z]{2,}[ \t]*$")
-_WORD = re.compile(r"[^\W_]+|[\x01\x02\x03]")
-_ALNUM = re.compile(r"[^\W_]+")
-#: Lines of code, tables and headings have other pairs than sentences and aren't judged by them alone.
-_CODE = re.compile(r"[=(){}\[\]`]|:\s*$|^\s*(?:return|def|pass|if|for|try|while|else|except|with|class|import|from|raise)\b|^\s*\|.*\|\s*$|^#+ |;\s*$|\d\d:\d\d")
-_PRODUCT = re.compile(r"\b[A-Za-z]{2,5}-\d{3,}\b.*,|^[^.?!]*,[^.?!]*\b\d+\.\d\d\s*$")
-_KEEP = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum() and c not in "\x01\x02\x03"})
+_WORD = re.compile(r"[^\W_]+|\x01")
+_TAG = re.compile(r"""<(?:a\b[^<>]*?\bhref=["']?([^"'<>\s]*)[^<>]*|/?[a-z][^<>\n]*)>""")
+#: Lines of code, tables, logs and headings: they have other pairs than sentences, and are no case.
+_CODE = re.compile(
+    r"^\s*(?:@|def |class |async |return\b|import |from \S+ import|(?:if|for|while|with|elif) .*:\s*$|else:|try:|except\b|raise\b|pass\s*$|assert\b)|^\s*[\w.\[\]]+\s*[-+*/|]?=\s*\S"
+    r"|\w\([^()]*\)\s*[:;,]?\s*$|[;{}]\s*$|^\s*\|.*\|\s*$|^#+ |\d\d:\d\d:\d\d|^\s*(?:[-+]{3}|@@)"
+)
+_KEEP = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum() and c != "\x01"})
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Codes of a line's end, a word of a link and a link's mark.
-_END, _URL, _ANCHOR = 1, 2, 3
-
-
-def _link(m: re.Match) -> str:
-    if m[0][0] == "<":
-        return " \x03 " if m[0][1] == "a" else " "
-    return " " + "\x02 " * max(1, len(_ALNUM.findall(m[0])))
+#: Code of a line's end; words have higher ones.
+_END = 1
 
 
 def _tokens(text: str) -> list[str]:
-    """Words in lower case, \\x01 for a line's end, \\x02 for each word of a link, \\x03 for an anchor."""
+    """Words in lower case, those of links too, markup aside, and \\x01 for a line's end."""
+    if not text.isascii():
+        text = "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf")
     t = text.lower()
-    if "\x01" in t or "\x02" in t or "\x03" in t:
-        t = re.sub("[\x01-\x03]", " ", t)
+    if "<" in t:
+        t = _TAG.sub(lambda m: f" {m[1] or ''} ", t)
+    if "\x01" in t:
+        t = t.replace("\x01", " ")
     if "\r" in t:
         t = t.replace("\r\n", "\n").replace("\r", "\n")
-    if "://" in t or "www." in t or "<a" in t:
-        t = _LINK.sub(_link, t)
-    if "." in t:
-        t = _DOMAIN.sub(_link, t)
     t = t.replace("\n", " \x01 ")
     return t.translate(_KEEP).split() if t.isascii() else _WORD.findall(t)
 
 
 class _Codes(dict):
-    """Numbers of words from 4, and their hashes by number, as many as are in use. 1 to 3 are marks."""
+    """Numbers of words from 2, and their hashes by number, as many as are in use."""
 
     def __init__(self) -> None:
         self.start()
 
     def start(self) -> None:
         self.clear()
-        self.update({"\x01": _END, "\x02": _URL, "\x03": _ANCHOR})
-        self.hashes = [0, 0, 0, 0]
+        self["\x01"] = _END
+        self.hashes = [0, 0]
 
     def __missing__(self, word: str) -> int:
         self.hashes.append(int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
@@ -94,7 +91,7 @@ def _coded(texts: list[str], codes: _Codes) -> tuple[np.ndarray, np.ndarray, np.
 
 def _pairs(code: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places of words followed by a word of their line, keys of these pairs)."""
-    word = code > _ANCHOR
+    word = code > _END
     at = np.flatnonzero(word[:-1] & word[1:])
     with np.errstate(over="ignore"):
         left = (hashes * _FACTOR) ^ (hashes >> np.uint64(31))
@@ -153,7 +150,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share = 1.0 / t.column("copies").to_numpy()
         code, doc, hashes = _coded(t.column("text").to_pylist(), codes)
         at, pair = _pairs(code, hashes)
-        words = np.flatnonzero(code > _ANCHOR)
+        words = np.flatnonzero(code > _END)
         for key, of in ((hashes[code[words]], doc[words]), (pair, doc[at])):
             if not len(key):
                 continue
@@ -190,26 +187,21 @@ class _Table:
         return np.maximum(np.where(texts <= FEW, np.minimum(n, EACH * (texts - 1)), n), 0)
 
 
-def _listed(line: str) -> bool:
-    parts = line.split()
-    return len(parts) >= 3 and 2 * sum(p[0] == "#" and len(p) > 1 for p in parts) >= len(parts)
-
-
-def score(texts: list[str], table: _Table, total: int, codes: _Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, words in spam lines, mean pointwise mutual information) of each text.
+def score(texts: list[str], table: _Table, total: int, codes: _Codes) -> tuple[np.ndarray, ...]:
+    """Of each text: (words, words in lines of dominant collocations, mean information of its pairs, words in lines of repeated
+    collocations by bin of information, words in other lines of LINE words or more, or short ones together, by bin, code and the
+    like aside), and for all texts together words in such lines by bin, of a line WEIGHT at most.
 
-    A pair's information is taken from its counts outside of the page itself, so a page can't vouch for its own
-    collocations by repeating them.
+    A pair's information is taken from its counts outside of the page itself, so a page can't vouch for its own collocations by
+    repeating them. It is the logarithm of its count by the count that chance would give it, PRIOR added to both: an unseen
+    pair of rare words says nothing, an unseen one of common words says that they don't go together.
     """
     code, doc, hashes = _coded(texts, codes)
     line = np.concatenate([[0], np.cumsum(code == _END)[:-1]])
     lines = int(line[-1]) + 1 if len(line) else 0
-    ends = np.flatnonzero(code == _END)
-    line_doc = doc[ends]
-    word = np.flatnonzero(code > _ANCHOR)
+    line_doc = doc[code == _END]
+    word = np.flatnonzero(code > _END)
     words_in = np.bincount(line[word], minlength=lines)
-    links = np.bincount(line[code == _URL], minlength=lines)
-    anchors = np.bincount(line[code == _ANCHOR], minlength=lines)
     doc_words = np.bincount(doc[word], minlength=len(texts))
     at, key = _pairs(code, hashes)
     order, starts = _sorted_runs(key, doc[at])
@@ -225,9 +217,14 @@ def score(texts: list[str], table: _Table, total: int, codes: _Codes) -> tuple[n
     order, starts = _sorted_runs(hashes[code[lone]], doc[lone])
     runs = np.diff(np.append(starts, len(lone)))
     mine[lone[order]] = np.repeat(runs, runs)
-    bits = np.clip(np.log2((elsewhere + 0.01) * max(total, 1) / (mine[at].astype(float) * mine[at + 1])), -6, 8)
-    pairs = np.bincount(line[at], minlength=lines)
-    pmi = np.bincount(line[at], bits, minlength=lines) / np.maximum(pairs, 1)
+    chance = mine[at].astype(float) * mine[at + 1] / max(total, 1)
+    bits = np.log2((elsewhere + PRIOR) / (chance + PRIOR))
+    # short lines that follow each other are judged together, as lists have a few words a line
+    short = words_in < LINE
+    run = np.cumsum(np.concatenate([[True], ~(short[1:] & short[:-1]) | (line_doc[1:] != line_doc[:-1])])) - 1 if lines else np.zeros(0, int)
+    pairs = np.bincount(run[line[at]], minlength=lines)
+    pmi = (np.bincount(run[line[at]], bits, minlength=lines) / np.maximum(pairs, 1))[run]
+    long = (np.bincount(run, words_in, minlength=lines) >= LINE)[run] & (pairs > 0)[run]
     lift = own / np.maximum(doc_words[doc[at]], 1) * max(total, 1)
     again = (own >= TIMES) & (lift > LIFT * elsewhere)
     heavy = (own >= TIMES + 1) & (own >= DOMINANT * doc_words[doc[at]]) & (lift > DOMINANT_LIFT * elsewhere)
@@ -238,26 +235,38 @@ def score(texts: list[str], table: _Table, total: int, codes: _Codes) -> tuple[n
         hit[at[which] + 1] = True
         return np.bincount(line[hit], minlength=lines) / np.maximum(words_in, 1)
 
-    bad = ((links > 0) | (anchors > 0)) & ((words_in < 8) | (pmi < DESCRIBED))
-    bad |= (covered(again) >= 0.5) & (pmi < REPEATED) & (words_in >= 2)
-    bad |= (covered(heavy) >= 0.4) & (words_in >= 3)
-    salad = ~bad & (words_in >= 5) & (pmi < SALAD)
-    maybe = ~bad & (words_in >= 3) & (pmi < PRODUCT)
+    stuffed = (covered(heavy) >= 0.4) & (words_in >= 3)
+    repeated = ~stuffed & (covered(again) >= 0.5) & (words_in >= 2)
+    plain = ~stuffed & ~repeated & long & (pmi < MOST_BITS)
     first = np.searchsorted(line_doc, np.arange(len(texts)))
-    for d in np.unique(line_doc[maybe | salad]).tolist():
+    for d in np.unique(line_doc[plain]).tolist():
         kept = re.split(r"\r\n|\r|\n", texts[d])
-        for i in (first[d] + np.flatnonzero((maybe | salad)[first[d] : first[d] + len(kept)])).tolist():
-            s = kept[i - first[d]]
-            bad[i] = bool(salad[i] and not _CODE.search(s) or _listed(s) or _PRODUCT.search(s) and not _CODE.search(s))
-    # hashtags are often single words, which make no pairs
-    for d, t in enumerate(texts):
-        if t.count("#") >= 3:
-            for i, s in enumerate(re.split(r"\r\n|\r|\n", t)):
-                if "#" in s and _listed(s):
-                    bad[first[d] + i] = True
-    size = words_in + links
+        for i in (first[d] + np.flatnonzero(plain[first[d] : first[d] + len(kept)])).tolist():
+            plain[i] = not _CODE.search(kept[i - first[d]])
+    bins = len(BINS) - 1
+    bin_ = np.clip(np.searchsorted(BINS, pmi, side="right") - 1, 0, bins - 1)
+    by = lambda m: np.bincount(line_doc[m] * bins + bin_[m], words_in[m], minlength=len(texts) * bins).reshape(len(texts), bins).astype(np.int32)
     spread = np.bincount(doc[at], bits, minlength=len(texts)) / np.maximum(np.bincount(doc[at], minlength=len(texts)), 1)
-    return np.bincount(line_doc, size, minlength=len(texts)).astype(np.int64), np.bincount(line_doc, size * bad, minlength=len(texts)).astype(np.int64), spread
+    return doc_words.astype(np.int64), np.bincount(line_doc[stuffed], words_in[stuffed], minlength=len(texts)).astype(np.int64), spread, by(repeated), by(plain), np.bincount(bin_[long], np.minimum(words_in[long], WEIGHT), minlength=bins)
+
+
+def cuts(words: np.ndarray) -> tuple[int, int]:
+    """(bins below the valley, bins below the split) of words by bin of their line's information: the split divides them into two
+    classes that differ least within (Otsu), and the valley is the bin with the fewest words between the classes' means."""
+    middle = (BINS[:-1] + BINS[1:]) / 2
+    w, m = np.cumsum(words), np.cumsum(words * middle)
+    if not len(w) or w[-1] <= 0:
+        return 0, 0
+    between = (m[-1] * w / w[-1] - m) ** 2 / np.maximum(w * (w[-1] - w), 1e-9)
+    split = int(np.argmax(between[:-1]))
+    low, high = m[split] / max(w[split], 1e-9), (m[-1] - m[split]) / max(w[-1] - w[split], 1e-9)
+    smooth, inside = np.convolve(words, np.ones(3) / 3, "same"), np.flatnonzero((middle > low) & (middle < high))
+    valley = int(inside[np.argmin(smooth[inside])]) if len(inside) else split
+    most = int(np.searchsorted(BINS, MOST_BITS))
+    return min(valley + 1, most), min(max(split, valley) + 1, most)
+
+
+_SCORED = ["doc_id", "words", "stuffed", "pmi", "repeated", "plain", "lines"]
 
 
 def _scored(uri: str, total: int):
@@ -269,8 +278,11 @@ def _scored(uri: str, total: int):
             k = counts.to_table(columns=["key", "n", "texts"], filter=pc.field("chunk") == t.column("chunk")[0].as_py(), use_threads=False)
             key, at = np.unique(k.column("key").to_numpy(), return_index=True)
             table = _Table(key, *(k.column(c).to_numpy()[at] for c in ("n", "texts")))
-            words, spam, pmi = score(t.column("text").to_pylist(), table, total, codes)
-            yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array(words), pa.array(spam), pa.array(pmi)], names=["doc_id", "words", "spam_words", "pmi"])
+            words, stuffed, pmi, repeated, plain, all_ = score(t.column("text").to_pylist(), table, total, codes)
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(BINS) - 1).cast(pa.list_(pa.int32())) for x in (repeated, plain)]
+            yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array(words), pa.array(stuffed), pa.array(pmi), *lists, pa.nulls(len(words), pa.list_(pa.int64()))], names=_SCORED)
+            none = [pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([all_.astype(np.int64)], pa.list_(pa.int64()))], names=_SCORED)
 
     return run
 
@@ -279,10 +291,12 @@ def spam_pages(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
     """(doc_id, words, spam_words, pmi, is_spam) of every page with a text.
 
     Words and pairs of neighbours within a line are counted over all texts of the corpus, exact copies once (each for its
-    share), as else the pairs of a much copied page would look like language. A page is read line by line: lines
-    whose pairs carry little information are word salads, pairs that the page has far more often than the corpus
-    are stuffed collocations, and lines of links or article numbers without a sentence are lists. A page is spam if most of
-    its words are in such lines; pages of a few words never are. pmi is the page's mean information, in bits.
+    share), as else the pairs of a much copied page would look like language. A page is read line by line: lines whose pairs carry
+    little information are word salads, keyword and link lists or product tags, and lines of pairs that the page has far more
+    often than the corpus are stuffed. What is little is told by the corpus: its lines' information has two peaks, and the
+    valley between them divides (`cuts`). Lines of code, tables, logs and headings are then taken out by a check of their form.
+    A page is spam if most of its words are in lines that are left; pages of a few words never are. pmi is the page's mean
+    information, in bits. In a corpus of one kind of lines only the division is arbitrary.
 
     Texts are written in chunks of a bounded size (a longer text is a chunk of its own). A chunk's words and pairs are added
     up before they are moved; the corpus counts of those that occur in two texts or more (others have no count outside of
@@ -302,5 +316,13 @@ def spam_pages(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
     held = keys.select("chunk", "key").join(counts, "key").repartition(partitions(spark), "chunk").sortWithinPartitions("chunk")
     path = qualified(spark, f"{shared_dir(spark)}/revsift-chunk-counts-{uuid4().hex}")
     held.write.parquet(path)
-    scored = own.select("doc_id", "text", "chunk").mapInArrow(_scored(path, total), "doc_id long, words long, spam_words long, pmi double")
+    kinds = "doc_id long, words long, stuffed long, pmi double, repeated array<int>, plain array<int>, lines array<long>"
+    scored = cut(own.select("doc_id", "text", "chunk").mapInArrow(_scored(path, total), kinds), "scored")
+    words = np.zeros(len(BINS) - 1)
+    for r in scored.where("lines is not null").select(F.posexplode("lines").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():  # a row for each bin
+        words[r["i"]] = r["n"]
+    valley, split = cuts(words)
+    below = lambda c, n: F.aggregate(F.slice(c, 1, n), F.lit(0).cast("long"), lambda t, v: t + v)
+    spam = F.col("stuffed") + below("repeated", split) + below("plain", valley)
+    scored = scored.where("words is not null").select("doc_id", "words", spam.alias("spam_words"), "pmi")
     return scored.withColumn("is_spam", (F.col("words") >= FEWEST) & (F.col("spam_words") > SHARE * F.col("words")))

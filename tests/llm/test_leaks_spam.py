@@ -90,5 +90,5 @@ def test_spam(spark):
 def test_spam_score_ignores_the_page_itself():
     c = spam._Codes()
     t = "red fox red fox red fox red fox red fox red fox red fox"
-    words_, bad, _ = spam.score([t], spam._Table(*[spam.np.zeros(0, int)] * 3), 1000, c)
+    words_, bad, *_ = spam.score([t], spam._Table(*[spam.np.zeros(0, int)] * 3), 1000, c)
     assert bad[0] == words_[0] == 14
