@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revsift.common import cut, forget
+from revsift.common import BROADCAST_ROWS, cut, forget
 
 #: Ranks are final when all together change by less than this a node, and after so many rounds at the latest.
 TOLERANCE, MOST_ROUNDS = 1e-6, 100
+#: Rounds after which that is looked at.
+CHECKED = 2
 
 
 def clean_edges(edges: DataFrame) -> DataFrame:
@@ -70,28 +72,32 @@ def ranks_by_part(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None =
     """
     key = ["part", "node"]
     nodes = cut(nodes.select(*key).distinct(), "nodes")
-    base = nodes.join(nodes.groupBy("part").agg(F.count("*").alias("n")), "part")
+    sizes = cut(nodes.groupBy("part").agg(F.count("*").alias("n")), "sizes")
+    # a row for each part: with few parts, which may be large, it goes to every task; with many no part is a hot key
+    few = sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    of = (lambda d: F.broadcast(d)) if few else (lambda d: d)
+    base = nodes.join(of(sizes), "part")
     if seeds is None:
         base = base.withColumn("p", 1.0 / F.col("n"))
     else:
         s = seeds.select(*key).distinct().join(nodes, key, "left_semi")
         s = cut(s, "seeds")
-        base = base.join(s.groupBy("part").agg(F.count("*").alias("m")), "part", "left").join(s.withColumn("hit", F.lit(1.0)), key, "left")
+        base = base.join(of(s.groupBy("part").agg(F.count("*").alias("m"))), "part", "left").join(s.withColumn("hit", F.lit(1.0)), key, "left")
         base = base.select(*key, "n", (F.coalesce("hit", F.lit(0.0)) / F.coalesce("m", F.lit(1))).alias("p"), F.col("m").isNotNull().alias("seeded"))
     out = edges.groupBy("part", F.col("src").alias("node")).agg(F.count("*").alias("deg"))
     links = cut(edges.select("part", F.col("src").alias("node"), "dst").join(out, ["part", "node"]), "links")
     start = 1.0 / F.col("n") if seeds is None else F.when(F.col("seeded"), 1.0 / F.col("n")).otherwise(0.0)
     rank = cut(base.join(out, key, "left").select(*key, "n", "p", "deg", start.alias("rank")), "base")
     last = None
-    for _ in range(MOST_ROUNDS if rounds is None else rounds):
+    for i in range(MOST_ROUNDS if rounds is None else rounds):
         lost = rank.where("deg is null").groupBy("part").agg(F.sum("rank").alias("lost"))
         got = rank.select(*key, "rank").join(links, key).groupBy("part", F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
-        new = rank.join(got, key, "left").join(lost, "part", "left")
+        new = rank.join(got, key, "left").join(of(lost), "part", "left")
         sent = alpha * (F.coalesce("got", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) * F.col("p")) + (1 - alpha) * F.col("p")
         old, new = (rank if last is None else last), cut(new.select(*key, "n", "p", "deg", sent.alias("rank"), F.col("rank").alias("was")), "rank")
         forget(old)
         last, rank = new, new.drop("was")
-        if rounds is None and (new.groupBy("part").agg((F.sum(F.abs(F.col("rank") - F.col("was"))) / F.max("n")).alias("change")).agg(F.max("change")).first()[0] or 0.0) < TOLERANCE:
+        if rounds is None and i % CHECKED == CHECKED - 1 and (new.groupBy("part").agg((F.sum(F.abs(F.col("rank") - F.col("was"))) / F.max("n")).alias("change")).agg(F.max("change")).first()[0] or 0.0) < TOLERANCE:
             break
     return rank.select(*key, "rank")
 
